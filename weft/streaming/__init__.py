@@ -1,0 +1 @@
+"""Streaming: Index.watch in weft.engine reconciles an index as files arrive."""
