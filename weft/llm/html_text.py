@@ -219,7 +219,8 @@ def decided(w: Slot) -> tuple[str, frozenset[str]]:
     def sift(s: Slot, path: str) -> None:
         for k in s.kids:
             at = f"{path}/{k.label}"
-            same = k.pages >= 5 and varies.get(id(root), False) and not varies.get(id(k), False) and (k.chars or k.links or k.kids)
+            container = " " in k.label or k.label in ("div", "section")  # a heading or an emphasised word may well recur in articles
+            same = container and k.label.split(" ")[0] in BLOCK and k.pages >= 5 and varies.get(id(root), False) and not varies.get(id(k), False) and (k.chars or k.links or k.kids)
             if k.unwanted or same and k.pages * 2 >= w.pages:
                 drop.append(at)
             else:

@@ -174,7 +174,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Ensemble:
     text = text_of()
     facts = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(truth))).select("doc_id", *[c.alias(n) for n, c in statistics(text).items()]).limit(2 * sample).collect()
     facts.sort()
-    return fitted(np.array([r[1:] for r in facts], float).reshape(len(facts), -1), np.array([truth[r[0]] for r in facts], float))
+    return fitted(np.array([r[1:] for r in facts], float).reshape(len(facts), len(NAMES)), np.array([truth[r[0]] for r in facts], float))
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
