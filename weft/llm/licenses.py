@@ -115,3 +115,24 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
     share = F.size(F.array_intersect("whole", "around")) / F.size("whole")
     found = met.select("doc_id", "license", "first", share.alias("containment")).filter(F.col("containment") >= least)
     return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first").cast("long").alias("first_word"))
+
+
+def oracle(least: float = 0.8) -> str:
+    """DuckDB SQL over `documents` for (doc_id, license, containment): every run of K words against every template's,
+    and for each run that matches the share of the template within a window that begins there."""
+    import re
+
+    rows = []
+    for name, notice in TEMPLATES.items():
+        t = Template(name, tuple(w for w in re.split(r"[^\w]+|_", notice.lower()) if w))
+        n = max(K, len(t.words))
+        span = n + 2 * step_of(n) - K  # from the first run of a window to its last
+        rows += [f"('{name}', {len(t.shingles)}, {span}, {i}, '{s}')" for i, s in enumerate(t.shingles)]
+    return f"""
+WITH t(license, total, span, ix, run) AS (VALUES {", ".join(rows)}),
+w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, p, array_to_string(ws[p : p + {K - 1}], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {K - 1}, 1) + 1)) AS p FROM w)),
+m AS (SELECT doc_id, license, total, span, ix, p FROM r JOIN t USING (run)),
+c AS (SELECT a.doc_id, a.license, a.p, count(DISTINCT b.ix) / any_value(a.total) AS share FROM m a JOIN m b ON b.doc_id = a.doc_id AND b.license = a.license AND b.p BETWEEN a.p AND a.p + a.span GROUP BY ALL)
+SELECT doc_id, license, CAST(max(share) AS DOUBLE) AS containment FROM c GROUP BY doc_id, license HAVING max(share) >= {least}
+"""
