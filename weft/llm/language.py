@@ -61,22 +61,23 @@ class Backoff:
                 of[lang] = g
             self.grams.append(self.vectors(of, grams, 2))
 
-    def vectors(self, counts: dict[str, Counter], most: int, least: int) -> dict[str, np.ndarray]:
+    def vectors(self, counts: dict[str, Counter], most: int, least: int) -> dict[str, tuple[float, ...]]:
         keep = {w for c in counts.values() for w, k in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most] if k >= least}
         size = {lang: sum(c.values()) + 0.1 * len(keep) for lang, c in counts.items()}
-        return {w: np.array([math.log((counts[lang][w] + 0.1) / size[lang]) for lang in self.languages], np.float32) for w in keep}
+        return {w: tuple(math.log((counts[lang][w] + 0.1) / size[lang]) for lang in self.languages) for w in keep}
 
-    def posterior(self, word: str) -> np.ndarray:
+    def posterior(self, word: str) -> list[float]:
         """Log posterior of each language given the word alone, each at least FLOOR."""
         v = self.known.get(word)
         if v is None:
+            v = (0.0,) * len(self.languages)
             for n, table in zip(LENGTHS, self.grams):
                 if found := [table[g] for g in grams_of(word, n) if g in table]:
-                    v = np.mean(found, axis=0)
+                    v = [sum(x) / len(found) for x in zip(*found)]
                     break
-            else:
-                v = np.zeros(len(self.languages), np.float32)
-        return np.maximum(v - (m := v.max()) - math.log(float(np.exp(v - m).sum())), FLOOR)
+        top = max(v)
+        whole = top + math.log(sum([math.exp(x - top) for x in v]))
+        return [max(x - whole, FLOOR) for x in v]
 
 
 class Scorer:
