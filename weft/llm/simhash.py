@@ -164,23 +164,39 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
+def apart(x: str, y: str) -> Column:
+    """Differing bits of two wide fingerprints."""
+    return sum((F.bit_count(F.element_at(x, i + 1).bitwiseXOR(F.element_at(y, i + 1))) for i in range(LANES)), F.lit(0))
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, cls, root) of every distinct pair of id and text: cls is a digest of the text, root its group's.
 
-    Exact copies are one vertex, so a text's copies are never paired. Null texts are empty; all texts without words
+    Exact copies are one vertex, so a text's copies are never paired. Nor are all pairs of a large group of near copies
+    given out: members are first linked to the ends of their buckets, and only pairs whose members that leaves apart are
+    looked at further. No link between different components is lost. Null texts are empty; all texts without words
     have fingerprint zero and are copies.
     """
     facts = stored(docs.select("doc_id", digest().alias("cls"), wides("text").alias("w")).select("doc_id", "cls", "w.*"), "wide")
     ids = facts.select("doc_id", "cls").distinct()
     one = stored(facts.groupBy("cls").agg(F.first("blocks").alias("blocks"), F.first("fp").alias("fp")), "classes")
     rows = one.select("cls", F.posexplode("blocks").alias("t", "key"))
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    held = stored(rows.join(sizes.select("t", "key"), ["t", "key"]).join(one.select("cls", "fp"), "cls"), "blocks")
-    a = held.select("t", "key", F.col("cls").alias("u"), F.col("fp").alias("x"))
-    b = held.select("t", "key", F.col("cls").alias("v"), F.col("fp").alias("y"))
-    far = sum((F.bit_count(F.element_at("x", i + 1).bitwiseXOR(F.element_at("y", i + 1))) for i in range(LANES)), F.lit(0))
-    pairs = a.join(b, ["t", "key"]).filter((F.col("u") < F.col("v")) & (far <= radius_of(similarity, 64 * LANES))).select("u", "v").distinct()
-    to = components(pairs).withColumnRenamed("u", "cls")
+    buckets = rows.groupBy("t", "key").agg(F.min("cls").alias("first"), F.max("cls").alias("last"))
+    held = stored(rows.join(buckets.filter("first <> last"), ["t", "key"]), "blocks")
+    fps = one.select("cls", "fp")
+    radius = radius_of(similarity, 64 * LANES)
+    # each member against the first and the last of its buckets
+    ends = held.select(F.col("cls").alias("u"), F.explode(F.array("first", "last")).alias("v")).filter("u <> v").distinct()
+    near = ends.join(fps.select(F.col("cls").alias("u"), F.col("fp").alias("x")), "u").join(fps.select(F.col("cls").alias("v"), F.col("fp").alias("y")), "v").filter(apart("x", "y") <= radius)
+    near = stored(near.select("u", "v"), "near")
+    # then, in buckets where that left several components, members of different ones against each other
+    part = held.select("t", "key", "cls").join(components(near).withColumnRenamed("u", "cls"), "cls", "left").select("t", "key", "cls", F.coalesce("m", "cls").alias("c"))
+    split = part.groupBy("t", "key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("t", "key")
+    rest = stored(part.join(split, ["t", "key"]).join(fps, "cls"), "rest")
+    a = rest.select("t", "key", F.col("cls").alias("u"), F.col("c").alias("cu"), F.col("fp").alias("x"))
+    b = rest.select("t", "key", F.col("cls").alias("v"), F.col("c").alias("cv"), F.col("fp").alias("y"))
+    across = a.join(b, ["t", "key"]).filter((F.col("cu") < F.col("cv")) & (apart("x", "y") <= radius)).select("u", "v").distinct()
+    to = components(near.unionByName(across)).withColumnRenamed("u", "cls")
     return ids.join(to, "cls", "left").select("doc_id", "cls", F.coalesce("m", "cls").alias("root"))
 
 
