@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weft.llm import bpe, decontamination, language, quality, simhash
 from weft.llm.common import fresh_dir, table, text_of
@@ -35,9 +34,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digest of the round trip's text of each document."""
-    coded = bpe.encoded(docs, vocabulary("word_bpe_49k.json"), texts=True)
-    ids = F.when(F.col("ids_text") == "", F.array().cast("array<int>")).otherwise(F.split("ids_text", " ").cast("array<int>"))
-    return coded.select("doc_id", "n_tokens", ids.alias("ids"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.encoded(docs, vocabulary("word_bpe_49k.json"), ids=True).select("doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [("language", language_id), ("quality", quality_filter), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("bpe", encode)]

@@ -189,25 +189,31 @@ def batches(values, most: int = 400_000):
         yield held
 
 
-def encoded(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, texts: bool = False) -> DataFrame:
-    """docs with ids_n, ids_text (decimal ids), decoded (the round trip's text) or, unless texts, only their digests.
+def encoded(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, ids: bool = False) -> DataFrame:
+    """docs with n_tokens, ids_sha256 (of the decimal ids), decoded_sha256 (of the round trip's text) and, if wanted, ids.
 
     keep: columns to carry (default doc_id). A null text is empty: no ids, digests of the empty string. Every row
-    gives a row, whatever its id. No shuffle.
+    gives a row, whatever its id. No shuffle; decoded texts stay in the worker.
     """
+    import numpy as np
+
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+    kinds = {"n": pa.int64(), "a": pa.string(), "b": pa.string()} | ({"ids": pa.list_(pa.int32())} if ids else {})
 
-    @F.arrow_udf("struct<n:long,a:string,b:string>")
+    @F.arrow_udf("struct<n:long,a:string,b:string" + (",ids:array<int>>" if ids else ">"))
     def coded(column: pa.Array) -> pa.Array:
         bpe = loaded(tokenizer)
-        n, a, b = [], [], []
+        n, a, b, listed = [], [], [], []
         for part in batches(column):
-            for ids, k, text in bpe.encode(part):
+            for said, k, text in bpe.encode(part):
                 n.append(k)
-                a.append(ids if texts else sha(ids))
-                b.append(text if texts else sha(text))
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["n", "a", "b"])
+                a.append(sha(said))
+                b.append(sha(text))
+                if ids:
+                    listed.append(np.array(said.split(), np.int32))
+        held = [n, a, b] + ([listed] if ids else [])
+        return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(held, kinds.values())], list(kinds))
 
     keep = ["doc_id"] if keep is None else keep
-    named = ("ids_text", "decoded") if texts else ("ids_sha256", "decoded_sha256")
-    return docs.select(*keep, coded("text").alias("__bpe")).select(*keep, F.col("__bpe.n").alias("n_tokens"), F.col("__bpe.a").alias(named[0]), F.col("__bpe.b").alias(named[1]))
+    made = {"n_tokens": "n", "ids_sha256": "a", "decoded_sha256": "b"} | ({"ids": "ids"} if ids else {})
+    return docs.select(*keep, coded("text").alias("__bpe")).select(*keep, *[F.col(f"__bpe.{c}").alias(name) for name, c in made.items()])
