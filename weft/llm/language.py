@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import remainder
+from weft.llm.common import remainder, stored
 
 UNDETERMINED = "und"
 LENGTHS = (5, 4, 3, 2, 1)
@@ -113,12 +113,16 @@ class Scorer:
 def trained(labelled: DataFrame, per_language: int = 1000, words: int = 50_000, grams: int = 30_000) -> bytes:
     """A pickled Backoff from labelled rows (doc_id, text, lang); rows with null text or language teach nothing.
 
-    Ids are chosen first, from the id and language alone: a task keeps at most per_language of each before the
-    shuffle. Their texts are read by one task, whose input is thus bounded; only the model comes to the driver.
+    Ids are chosen first, from the id and language alone: those under a hash limit that leaves about twice as many as
+    wanted of each language, whatever its size, and of these the least. Their texts are read by one task, whose input is thus bounded; only the model comes to the driver.
     """
     rows = labelled.select("doc_id", "text", "lang").filter("doc_id is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
+    whole = 1 << 30
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(whole))
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    few = rows.select("doc_id", "lang", h.alias("h")).join(sizes, "lang").filter(F.col("h") < F.lit(float(whole * (2 * per_language + 100))) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
     ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
