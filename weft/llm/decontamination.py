@@ -73,10 +73,14 @@ class Searcher:
         self.words = [[terms[w] for w in ws] for _, ws, _ in items]
         self.answers = [[terms[w] for w in an] for _, _, an in items]
         self.heavy = np.abs(self.vectors).sum(1) > 0
-        self.groups: dict[int, tuple[list[int], np.ndarray]] = {}
+        self.groups: dict[int, tuple[list[int], np.ndarray, np.ndarray, np.ndarray]] = {}
         for w in {window_of(len(x)) for x in self.words}:
             at = [k for k, x in enumerate(self.words) if window_of(len(x)) == w]
-            self.groups[w] = at, latent[at].T.astype(np.float32)
+            lengths = np.array([len(self.words[k]) for k in at])
+            padded = np.full((len(at), lengths.max()), len(terms))  # the last place of a presence table: never set
+            for row, k in enumerate(at):
+                padded[row, : lengths[row]] = self.words[k]
+            self.groups[w] = at, latent[at].T.astype(np.float32), padded, PARAPHRASE * lengths
 
     def find(self, text: str | None) -> list[tuple[int, float, float, int, bool]]:
         """(item, share of its words in the longest common subsequence, cosine, first word of the window, whether a copy)."""
@@ -95,7 +99,8 @@ class Searcher:
         sums[block[starts]] = np.add.reduceat(self.vectors[ids[at]], starts, axis=0)
         total = np.vstack([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
         best: dict[int, tuple] = {}
-        for w, (items, latent) in self.groups.items():
+        present = np.zeros(len(self.terms) + 1, bool)
+        for w, (items, latent, padded, least) in self.groups.items():
             n = w // STEP
             first = np.arange(max(1, len(sums) - n + 1))
             v = total[np.minimum(first + n, len(sums))] - total[first]
@@ -108,16 +113,25 @@ class Searcher:
                 if not len(part):
                     continue
                 cos = (v[part] / size[part, None]).astype(np.float32) @ latent
-                for r, c in zip(*np.nonzero(cos >= COSINE)):
-                    k, b = items[c], int(first[part[r]]) * STEP
-                    if k in best and best[k][0] >= 1.0:
-                        continue
-                    near = ids[max(0, b - STEP) : b + w + STEP].tolist()
-                    share = lcs(self.words[k], near) / len(self.words[k])
-                    if share < PARAPHRASE or share < COPY and lcs(self.answers[k], near) < ANSWER * len(self.answers[k]):
-                        continue
-                    if k not in best or share > best[k][0]:
-                        best[k] = share, float(cos[r, c]), b
+                hits = cos >= COSINE
+                for r in np.flatnonzero(hits.any(1)):
+                    b, cs = int(first[part[r]]) * STEP, np.flatnonzero(hits[r])
+                    near = ids[max(0, b - STEP) : b + w + STEP]
+                    near = near[near >= 0]
+                    # no subsequence is longer than the number of the item's words that are there at all
+                    present[near] = True
+                    cs = cs[present[padded[cs]].sum(1) >= least[cs]]
+                    present[near] = False
+                    listed = near.tolist() if len(cs) else []
+                    for c in cs:
+                        k = items[c]
+                        if k in best and best[k][0] >= 1.0:
+                            continue
+                        share = lcs(self.words[k], listed) / len(self.words[k])
+                        if share < PARAPHRASE or share < COPY and lcs(self.answers[k], listed) < ANSWER * len(self.answers[k]):
+                            continue
+                        if k not in best or share > best[k][0]:
+                            best[k] = share, float(cos[r, c]), b
         return [(self.ids[k], s, c, b, s >= COPY) for k, (s, c, b) in sorted(best.items())]
 
 
