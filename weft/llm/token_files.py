@@ -32,7 +32,9 @@ from weft.llm.common import fresh_dir
 
 MAGIC = b"WFT1"
 #: Entries of a worker's table of words; beyond it the table starts anew.
-TABLE = 500_000
+TABLE = 900_000
+#: Marks that end a word in most texts.
+TAIL = ".,;:!?#$%&*|)]}\""
 
 
 class ByteBpe:
@@ -57,11 +59,26 @@ class ByteBpe:
         for token, i in self.lib.get_vocab().items():
             self.first[i] = token[0] == "Ġ"  # the letter of a space
         self.table: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, parts: list[str]) -> None:
+        """Put the ids of new parts, each with its space, into the table.
+
+        Marks after a last letter or digit are a token run of their own in the pattern, so a part's ids are those of its
+        core and of its tail, and known cores cost nothing. (An apostrophe may begin a contraction and stays.)
+        """
+        split = {p: (core, p[len(core) :]) for p in parts if (core := p.rstrip(TAIL)) and core != p and core[-1].isalnum()}
+        self.whole(list({split[p][0] if p in split else p for p in parts}.difference(self.table)))
+        tails, table = self.tails, self.table
+        for p, (core, tail) in split.items():
+            if tail not in tails:
+                tails[tail] = self.raw(tail)
+            table[p] = table[core] + tails[tail]
+
+    def whole(self, parts: list[str]) -> None:
         """Many new parts as one text: each begins with a token that has a leading space, and none else has."""
         for k in range(0, len(parts), 2000):
             some = parts[k : k + 2000]
@@ -69,12 +86,13 @@ class ByteBpe:
             at = np.flatnonzero(self.first[ids])
             if len(at) != len(some):
                 raise AssertionError("parts and their tokens don't agree")
-            self.table.update(zip(some, (x.tobytes() for x in np.split(ids, at[1:]))))
+            raw, ends = ids.tobytes(), (at * 4).tolist() + [len(ids) * 4]
+            self.table.update(zip(some, [raw[a:b] for a, b in zip(ends, ends[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, the end id last."""
         if len(self.table) > TABLE:
-            self.table = {}
+            self.table, self.tails = {}, {}
         split: list[list[str] | None] = []
         need: set[str] = set()
         for t in texts:
@@ -147,8 +165,10 @@ def trained(docs: DataFrame, tokenizer: str, end: int | None, sample: int, size:
             out = b""
         yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["dictionary"])
 
-    few = docs.filter(F.length("text") < 20_000).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample)
-    rows = few.select("text").coalesce(1).mapInArrow(train, "dictionary binary").collect()
+    # ids first, from the id alone; their texts next: what one task reads is bound by the sample, whatever the input
+    ids = [r[0] for r in docs.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    few = docs.filter(F.col("doc_id").isin(ids) & (F.length("text") < 20_000))
+    rows = few.select("text").coalesce(1).mapInArrow(train, "dictionary binary").collect() if ids else []
     return next((bytes(r[0]) for r in rows if r[0]), b"")
 
 
