@@ -170,6 +170,17 @@ def test_contamination(spark, docs, empty):
     assert decontamination.clean(df, bench.limit(0)).count() == df.count()
 
 
+def test_paraphrase_that_keeps_common_words(spark):
+    rng = random.Random(12)
+    common = [f"common{k}" for k in range(10)]
+    item = " ".join(f"rare{k} {common[k]}" for k in range(6)) + " rare6 rare7 rare8 rare9. " + " ".join(common[6:]) + "."
+    docs = [(i, prose(rng, 60) + (" " + " ".join(common) if i < 15 else "")) for i in range(200)]
+    leak = prose(rng, 30) + " " + re.sub("rare", "other", item) + " " + prose(rng, 30)
+    df, bench = spark.createDataFrame([*docs, (500, leak)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.contaminated(df, bench).collect()}
+    assert got[500]["share"] == 0.5 and not got[500]["copy"]
+
+
 def test_lcs():
     rng = random.Random(9)
     for _ in range(100):

@@ -4,8 +4,8 @@ Benchmark items are passages; their TF-IDF matrix, with document frequencies cou
 randomised SVD that is computed over the partitions of the items: each adds up its share of A'AX for a random X, then of
 the small Gram matrix in the range found. Every text is slid over by windows of 32, 64, 128, ... words (as the items' lengths
 need) in steps of 16; a window's vector is the sum of its terms' latent vectors, and items whose cosine reaches a threshold
-are candidates, if the window also goes some way along the item's vector. A candidate is checked by the longest common
-subsequence of words. A share of 0.8 of the item's words is a copy. From 0.5 on it is a paraphrase, if the item's answer (its last sentence, or its last words) is there too.
+are candidates. A candidate is checked by the longest common subsequence of words. A share of 0.8 of the item's words is a
+copy. From 0.5 on it is a paraphrase, if the item's answer (its last sentence, or its last words) is there too.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W_]+")
 STEP = 16
 COSINE, COPY, PARAPHRASE, ANSWER = 0.4, 0.8, 0.5, 0.8
-#: Least length of a window's vector along an item's, as a share of the item's own: a few shared words point the right way
-#: but don't go far.
-REACH = 0.3
+#: Windows looked at together.
+WINDOWS = 256
 #: Items of fewer words can't tell a copy from chance and are not searched for.
 LEAST_WORDS = 8
 #: Items searched for at once: what is broadcast is bound by it; more items take more passes.
@@ -76,15 +75,14 @@ class Searcher:
         self.words = [[terms[w] for w in ws] for _, ws, _ in items]
         self.answers = [[terms[w] for w in an] for _, _, an in items]
         self.heavy = np.abs(self.vectors).sum(1) > 0
-        self.groups: dict[int, tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.groups: dict[int, tuple[list[int], np.ndarray, np.ndarray, np.ndarray]] = {}
         for w in {window_of(len(x)) for x in self.words}:
             at = [k for k, x in enumerate(self.words) if window_of(len(x)) == w]
             lengths = np.array([len(self.words[k]) for k in at])
             padded = np.full((len(at), lengths.max()), len(terms))  # the last place of a presence table: never set
             for row, k in enumerate(at):
                 padded[row, : lengths[row]] = self.words[k]
-            norms = np.array([np.linalg.norm(self.vectors[self.words[k]].sum(0)) for k in at])
-            self.groups[w] = at, latent[at].T.astype(np.float32), padded, PARAPHRASE * lengths, REACH * norms
+            self.groups[w] = at, latent[at].T.astype(np.float32), padded, PARAPHRASE * lengths
 
     def find(self, text: str | None) -> list[tuple[int, float, float, int, bool]]:
         """(item, share of its words in the longest common subsequence, cosine, first word of the window, whether a copy)."""
@@ -102,9 +100,10 @@ class Searcher:
         sums = np.zeros((len(words) // STEP + 1, self.vectors.shape[1]), np.float32)
         sums[block[starts]] = np.add.reduceat(self.vectors[ids[at]], starts, axis=0)
         total = np.vstack([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
+        known = np.flatnonzero(ids >= 0)
+        held = known // STEP
         best: dict[int, tuple] = {}
-        present = np.zeros(len(self.terms) + 1, bool)
-        for w, (items, latent, padded, least, reach) in self.groups.items():
+        for w, (items, latent, padded, least) in self.groups.items():
             n = w // STEP
             first = np.arange(max(1, len(sums) - n + 1))
             v = total[np.minimum(first + n, len(sums))] - total[first]
@@ -112,30 +111,37 @@ class Searcher:
             some = size > 1e-6
             if not some.any():
                 continue
-            for lo in range(0, len(first), 4096):
-                part = np.flatnonzero(some[lo : lo + 4096]) + lo
+            for lo in range(0, len(first), WINDOWS):
+                part = np.flatnonzero(some[lo : lo + WINDOWS]) + lo
                 if not len(part):
                     continue
                 along = v[part].astype(np.float32) @ latent
-                hits = along >= np.maximum(COSINE * size[part, None], reach)
-                for r in np.flatnonzero(hits.any(1)):
-                    b, cs = int(first[part[r]]) * STEP, np.flatnonzero(hits[r])
-                    near = ids[max(0, b - STEP) : b + w + STEP]
-                    near = near[near >= 0]
-                    # no subsequence is longer than the number of the item's words that are there at all
-                    present[near] = True
-                    cs = cs[present[padded[cs]].sum(1) >= least[cs]]
-                    present[near] = False
-                    listed = near.tolist() if len(cs) else []
-                    for c in cs:
-                        k = items[c]
-                        if k in best and best[k][0] >= 1.0:
-                            continue
-                        share = lcs(self.words[k], listed) / len(self.words[k])
-                        if share < PARAPHRASE or share < COPY and lcs(self.answers[k], listed) < ANSWER * len(self.answers[k]):
-                            continue
-                        if k not in best or share > best[k][0]:
-                            best[k] = share, float(along[r, c] / size[part[r]]), b
+                rows, cs = np.nonzero(along >= COSINE * size[part, None])
+                if not len(rows):
+                    continue
+                # terms of each block from the one before the first window on, then of each window and a block beside it
+                within = slice(*np.searchsorted(held, (lo - 1, min(lo + WINDOWS, len(first)) + n)))
+                blocks = np.zeros((min(WINDOWS, len(first) - lo) + n + 1, len(self.terms) + 1), bool)
+                blocks[held[within] - lo + 1, ids[known[within]]] = True
+                hit, place = np.unique(rows, return_inverse=True)
+                present = np.zeros((len(hit), blocks.shape[1]), bool)
+                for d in range(n + 2):
+                    present |= blocks[part[hit] - lo + d]
+                # no subsequence is longer than the number of the item's words that are there at all
+                good = present[place[:, None], padded[cs]].sum(1) >= least[cs]
+                last, listed = -1, []
+                for r, c in zip(rows[good].tolist(), cs[good].tolist()):
+                    b, k = int(first[part[r]]) * STEP, items[c]
+                    if k in best and best[k][0] >= 1.0:
+                        continue
+                    if r != last:
+                        near = ids[max(0, b - STEP) : b + w + STEP]
+                        last, listed = r, near[near >= 0].tolist()
+                    share = lcs(self.words[k], listed) / len(self.words[k])
+                    if share < PARAPHRASE or share < COPY and lcs(self.answers[k], listed) < ANSWER * len(self.answers[k]):
+                        continue
+                    if k not in best or share > best[k][0]:
+                        best[k] = share, float(along[r, c] / size[part[r]]), b
         return [(self.ids[k], s, c, b, s >= COPY) for k, (s, c, b) in sorted(best.items())]
 
 
