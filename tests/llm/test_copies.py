@@ -181,6 +181,17 @@ def test_paraphrase_that_keeps_common_words(spark):
     assert got[500]["share"] == 0.5 and not got[500]["copy"]
 
 
+def test_items_beyond_the_dimensions_are_found(spark, monkeypatch):
+    monkeypatch.setattr(decontamination.prepared, "__defaults__", (4,))
+    rng = random.Random(13)
+    vocabulary = prose(rng, 3000).split()
+    some = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(i, some(rng.randrange(16, 30)) + ".") for i in range(80)]
+    df = spark.createDataFrame([(i, some(50) + " " + t + " " + some(50)) for i, t in items], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got >= {(i, i) for i in range(80)}
+
+
 def test_lcs():
     rng = random.Random(9)
     for _ in range(100):

@@ -29,7 +29,7 @@ COSINE, COPY, PARAPHRASE, ANSWER = 0.4, 0.8, 0.5, 0.8
 WINDOWS = 256
 #: Items of fewer words can't tell a copy from chance and are not searched for.
 LEAST_WORDS = 8
-#: Items searched for at once: what is broadcast is bound by it; more items take more passes.
+#: Items searched for in one pass over the texts: what is broadcast is bound by it; more items take more passes.
 BLOCK = 5000
 
 
@@ -84,9 +84,8 @@ class Searcher:
                 padded[row, : lengths[row]] = self.words[k]
             self.groups[w] = at, latent[at].T.astype(np.float32), padded, PARAPHRASE * lengths
 
-    def find(self, text: str | None) -> list[tuple[int, float, float, int, bool]]:
+    def find(self, words: list[str]) -> list[tuple[int, float, float, int, bool]]:
         """(item, share of its words in the longest common subsequence, cosine, first word of the window, whether a copy)."""
-        words = words_of(text) if text else []
         if len(words) < 4:
             return []
         get = self.terms.get
@@ -145,6 +144,11 @@ class Searcher:
         return [(self.ids[k], s, c, b, s >= COPY) for k, (s, c, b) in sorted(best.items())]
 
 
+def found_in(searchers: list[Searcher], text: str | None) -> list[tuple[int, float, float, int, bool]]:
+    words = words_of(text) if text else []
+    return [x for s in searchers for x in s.find(words)] if words else []
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], terms: dict[str, int], idf: np.ndarray) -> np.ndarray:
     """TF-IDF rows (unit length) of the items in a partition."""
     out = []
@@ -204,37 +208,47 @@ def counted(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
 
 
 def prepared(docs: DataFrame, items: DataFrame, dimensions: int = 128) -> list[bytes]:
-    """Pickled searchers, one for each block of at most BLOCK items (item_id, text) of LEAST_WORDS words or more."""
+    """Pickled lists of searchers, one list for each pass of at most BLOCK items (item_id, text) of LEAST_WORDS words or more.
+
+    A searcher has no more items than dimensions, so that its latent space holds every item whole however many there are.
+    """
     rows = sorted({(r[0], r[1]) for r in items.select("item_id", "text").filter("item_id is not null and text is not null").toLocalIterator() if len(words_of(r[1])) >= LEAST_WORDS})
-    spark, out = docs.sparkSession, []
+    out = []
     for lo in range(0, len(rows), BLOCK):
         part = [(i, t, words_of(t)) for i, t in rows[lo : lo + BLOCK]]
-        terms = {w: k for k, w in enumerate(sorted({w for _, _, ws in part for w in ws}))}
-        n, df = counted(docs, terms)
-        idf = np.log(1 + n / np.maximum(df, 1))
-        common = df > 0.1 * n
-        heavy = ~common
-        for _, _, ws in part:  # an item of common words alone keeps them all
-            at = [terms[w] for w in ws]
-            if (~common[at]).sum() < 5:
-                heavy[at] = True
-        idf = np.where(heavy, idf, 0.0)
-        frame = spark.createDataFrame([(t,) for _, t, _ in part], "text string").repartition(min(8, len(part)))
-        v = decomposed(frame, terms, idf, min(dimensions, len(part)))
-        vectors = idf[:, None] * v
-        latent = np.array([vectors[[terms[w] for w in ws]].sum(0) for _, _, ws in part])
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        out.append(pickle.dumps(Searcher(terms, vectors, [(i, ws, answer_of(t)) for i, t, ws in part], latent)))
+        every = {w: k for k, w in enumerate(sorted({w for _, _, ws in part for w in ws}))}
+        n, df = counted(docs, every)
+        out.append(pickle.dumps([searcher_of(docs.sparkSession, part[at : at + dimensions], every, n, df, dimensions) for at in range(0, len(part), dimensions)]))
     return out
 
 
-_searchers: dict[str, Searcher] = {}
+def searcher_of(spark, part: list[tuple[int, str, list[str]]], every: dict[str, int], n: int, df: np.ndarray, dimensions: int) -> Searcher:
+    """The searcher of a block of items; n documents, df of them with each term of every."""
+    terms = {w: k for k, w in enumerate(sorted({w for _, _, ws in part for w in ws}))}
+    df = df[[every[w] for w in terms]]
+    idf = np.log(1 + n / np.maximum(df, 1))
+    common = df > 0.1 * n
+    heavy = ~common
+    for _, _, ws in part:  # an item of common words alone keeps them all
+        at = [terms[w] for w in ws]
+        if (~common[at]).sum() < 5:
+            heavy[at] = True
+    idf = np.where(heavy, idf, 0.0)
+    frame = spark.createDataFrame([(t,) for _, t, _ in part], "text string").repartition(min(8, len(part)))
+    v = decomposed(frame, terms, idf, min(dimensions, len(part)))
+    vectors = idf[:, None] * v
+    latent = np.array([vectors[[terms[w] for w in ws]].sum(0) for _, _, ws in part])
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    return Searcher(terms, vectors, [(i, ws, answer_of(t)) for i, t, ws in part], latent)
+
+
+_searchers: dict[str, list[Searcher]] = {}
 FOUND = "array<struct<item_id:long,share:double,cosine:double,first_word:long,copy:boolean>>"
 
 
-def finder(spark, searcher: bytes):
-    """A function of a text column: the items found. The searcher is broadcast; BLOCK bounds its size."""
-    shared, key = spark.sparkContext.broadcast(searcher), uuid.uuid4().hex
+def finder(spark, searchers: bytes):
+    """A function of a text column: the items found. The searchers of a pass are broadcast; BLOCK bounds their size."""
+    shared, key = spark.sparkContext.broadcast(searchers), uuid.uuid4().hex
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64()), ("first_word", pa.int64()), ("copy", pa.bool_())]))
 
     @F.arrow_udf(FOUND)
@@ -243,7 +257,7 @@ def finder(spark, searcher: bytes):
             _searchers.clear()
             _searchers[key] = pickle.loads(shared.value)
         names = ("item_id", "share", "cosine", "first_word", "copy")
-        return pa.array([[dict(zip(names, x)) for x in _searchers[key].find(t.as_py())] for t in texts], kind)
+        return pa.array([[dict(zip(names, x)) for x in found_in(_searchers[key], t.as_py())] for t in texts], kind)
 
     return find
 
