@@ -192,6 +192,15 @@ def test_items_beyond_the_dimensions_are_found(spark, monkeypatch):
     assert got >= {(i, i) for i in range(80)}
 
 
+def test_short_items_are_found_by_their_words(spark):
+    docs = [(1, "We ask: who wrote Hamlet, and when?"), (2, "who ever wrote Hamlet"), (3, "Who wrote Hamlet"), (4, "hamlet"), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "?!")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["share"], r["first_word"], r["copy"]) for r in decontamination.contaminated(df, bench).collect()}
+    assert got == {(1, 1, 1.0, 2, True), (3, 1, 1.0, 0, True)}
+    assert {r["doc_id"] for r in decontamination.clean(df, bench).collect()} == {2, 4, 5}
+
+
 def test_lcs():
     rng = random.Random(9)
     for _ in range(100):

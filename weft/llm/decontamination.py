@@ -27,7 +27,7 @@ STEP = 16
 COSINE, COPY, PARAPHRASE, ANSWER = 0.4, 0.8, 0.5, 0.8
 #: Windows looked at together.
 WINDOWS = 256
-#: Items of fewer words can't tell a copy from chance and are not searched for.
+#: Items of fewer words are found by their exact sequence of words only.
 LEAST_WORDS = 8
 #: Items searched for in one pass over the texts: what is broadcast is bound by it; more items take more passes.
 BLOCK = 5000
@@ -144,7 +144,26 @@ class Searcher:
         return [(self.ids[k], s, c, b, s >= COPY) for k, (s, c, b) in sorted(best.items())]
 
 
-def found_in(searchers: list[Searcher], text: str | None) -> list[tuple[int, float, float, int, bool]]:
+class Short:
+    """Finds items of fewer than LEAST_WORDS words by their exact sequence of words."""
+
+    def __init__(self, items: list[tuple[int, list[str]]]):
+        self.by_first: dict[str, list[tuple[int, list[str]]]] = {}
+        for i, ws in items:
+            self.by_first.setdefault(ws[0], []).append((i, ws))
+
+    def find(self, words: list[str]) -> list[tuple[int, float, float, int, bool]]:
+        """As of a Searcher: share and cosine are 1, first_word is the item's own first word."""
+        best: dict[int, int] = {}
+        get = self.by_first.get
+        for at, w in enumerate(words):
+            for i, ws in get(w, ()):
+                if i not in best and words[at : at + len(ws)] == ws:
+                    best[i] = at
+        return [(i, 1.0, 1.0, at, True) for i, at in sorted(best.items())]
+
+
+def found_in(searchers: list[Searcher | Short], text: str | None) -> list[tuple[int, float, float, int, bool]]:
     words = words_of(text) if text else []
     return [x for s in searchers for x in s.find(words)] if words else []
 
@@ -208,17 +227,22 @@ def counted(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
 
 
 def prepared(docs: DataFrame, items: DataFrame, dimensions: int = 128) -> list[bytes]:
-    """Pickled lists of searchers, one list for each pass of at most BLOCK items (item_id, text) of LEAST_WORDS words or more.
+    """Pickled lists of searchers, one list for each pass of at most BLOCK items (item_id, text) with words.
 
     A searcher has no more items than dimensions, so that its latent space holds every item whole however many there are.
     """
-    rows = sorted({(r[0], r[1]) for r in items.select("item_id", "text").filter("item_id is not null and text is not null").toLocalIterator() if len(words_of(r[1])) >= LEAST_WORDS})
+    rows = sorted({(r[0], r[1]) for r in items.select("item_id", "text").filter("item_id is not null and text is not null").toLocalIterator() if words_of(r[1])})
     out = []
     for lo in range(0, len(rows), BLOCK):
         part = [(i, t, words_of(t)) for i, t in rows[lo : lo + BLOCK]]
-        every = {w: k for k, w in enumerate(sorted({w for _, _, ws in part for w in ws}))}
-        n, df = counted(docs, every)
-        out.append(pickle.dumps([searcher_of(docs.sparkSession, part[at : at + dimensions], every, n, df, dimensions) for at in range(0, len(part), dimensions)]))
+        short, long = [(i, ws) for i, _, ws in part if len(ws) < LEAST_WORDS], [x for x in part if len(x[2]) >= LEAST_WORDS]
+        searchers: list[Searcher | Short] = [Short(short)] if short else []
+        if long:
+            every = {w: k for k, w in enumerate(sorted({w for _, _, ws in long for w in ws}))}
+            n, df = counted(docs, every)
+            for at in range(0, len(long), dimensions):
+                searchers.append(searcher_of(docs.sparkSession, long[at : at + dimensions], every, n, df, dimensions))
+        out.append(pickle.dumps(searchers))
     return out
 
 
@@ -242,7 +266,7 @@ def searcher_of(spark, part: list[tuple[int, str, list[str]]], every: dict[str,
     return Searcher(terms, vectors, [(i, ws, answer_of(t)) for i, t, ws in part], latent)
 
 
-_searchers: dict[str, list[Searcher]] = {}
+_searchers: dict[str, list[Searcher | Short]] = {}
 FOUND = "array<struct<item_id:long,share:double,cosine:double,first_word:long,copy:boolean>>"
 
 
@@ -266,7 +290,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share, cosine, first_word, copy) for each document and benchmark item found in it.
 
     docs: doc_id, text; items: item_id, text; other columns are left out. Null and empty texts have nothing; items with
-    a null id or text, or of fewer than LEAST_WORDS words, aren't searched for. Repeated documents each have their rows; of
+    a null id or text, or without words, aren't searched for. Repeated documents each have their rows; of
     repeated items one is searched for.
     """
     out = None
