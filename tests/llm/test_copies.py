@@ -87,6 +87,33 @@ def test_one_of_each(spark, docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def like(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_edits_in_one_piece_are_near_copies(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 300)) for i in range(120)]
+    near = []
+    for i, t in rows:
+        w, new = t.split(), prose(rng, 30).split()
+        near.append((1000 + i, " ".join([w[:246], w + prose(rng, 70).split(), w[:130] + new[:28] + w[158:]][i % 3])))
+    assert all(0.8 <= like(t, n) < 0.84 for (_, t), (_, n) in zip(rows, near))
+    df = spark.createDataFrame(rows + near, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_each(df).collect()}
+    assert kept == {i for i, _ in rows}
+
+
+def test_shingles_decide_near_copies(spark):
+    rng = random.Random(15)
+    rows = [(i, prose(rng, 300)) for i in range(120)]
+    cuts = [(1000 + i, " ".join(t.split()[:n])) for i, t in rows for n in [241 if i % 2 else 238]]  # 0.8007 and 0.7905
+    df = spark.createDataFrame(rows + cuts, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_each(df).collect()}
+    assert kept == {i for i, _ in rows} | {1000 + i for i, _ in rows if i % 2 == 0}
+
+
 def test_fingerprints(docs, empty):
     got = fingerprints.fingerprinted(docs)
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

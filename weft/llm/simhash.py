@@ -8,11 +8,10 @@ two must then be equal, so six tables, each keyed by two blocks (32 bits), hold
 fingerprints aren't paired: two fingerprints differ in at most 2 bits exactly if some value is within one bit of both, so
 the members of large buckets are linked through those values, 65 for each fingerprint, to the least member of each value.
 
-`near_copies` finds documents whose 5-word shingle sets have a Jaccard similarity of about 0.8 or more. That lies 27 degrees
-apart, too far for a pigeonhole over 64 bits, so it has wide fingerprints: 624 bits over the set of words, in 26 blocks of
-24 bits, to find candidates, and 512 bits over the 5-word shingles, to verify. At similarity 0.8 about 2.3 % of the words
-differ, the word sets lie 12 degrees apart, and a pair shares a block with probability 1 - (1 - 0.93^24)^26 = 0.99; every
-pair within 25 of the 624 bits surely does.
+`near_copies` finds documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more. That lies 27 degrees apart,
+too far for a pigeonhole over 64 bits, and sets of words lie further apart still where an edit is in one piece. Candidates
+therefore share one of 26 bands of 6 minima over the shingles: a pair at 0.8 does with probability 1 - (1 - 0.8^6)^26 = 0.9996,
+whatever was edited. A 512-bit fingerprint over the shingles leaves out pairs far below, and the shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -123,34 +122,39 @@ def linked(docs: DataFrame) -> DataFrame:
     return fp.join(place, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-BLOCKS, WIDTH = 26, 24
+#: Bands of minima, and minima in each.
+BLOCKS, ROWS = 26, 6
 LANES = 8
-#: Entries of a worker's table of words; beyond it the table starts anew.
-TABLE = 200_000
-_digests: dict[bytes, bytes] = {}
 SPREAD = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(LANES)], np.uint64)
-
-
-def wide(text: str, k: int = 5) -> tuple[list[int], list[int]]:
-    """(26 block keys, 8 words of the shingle fingerprint)."""
-    words = words_of(text)
-    if len(_digests) > TABLE:
-        _digests.clear()
-    distinct = set(words)
-    for w in distinct.difference(_digests):
-        _digests[w] = b"".join(xxhash.xxh3_128_digest(w, s) for s in range(5))
-    table = np.frombuffer(b"".join(map(_digests.__getitem__, sorted(distinct))), np.uint64).reshape(-1, 10)
-    blocks = np.frombuffer(majority(table)[: BLOCKS * 3], np.uint8).reshape(BLOCKS, 3).astype(np.int64)
-    h = np.array([xxhash.xxh3_64_intdigest(s) for s in set(shingles(words, k))], np.uint64)[:, None] * SPREAD if words else np.zeros((0, LANES), np.uint64)
+_drawn = np.random.default_rng(42)
+TIMES, PLUS = (_drawn.integers(0, 1 << 32, BLOCKS * ROWS, np.uint32) for _ in range(2))
+TIMES |= np.uint32(1)
+
+
+def hashes_of(text: str, k: int = 5) -> np.ndarray:
+    """Hashes of the distinct shingles."""
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in set(shingles(words_of(text), k))], np.uint64))
+
+
+def wide(text: str) -> tuple[list[int], list[int]]:
+    """(26 band keys, 8 words of the shingle fingerprint)."""
+    own = hashes_of(text)
+    least = np.full(BLOCKS * ROWS, (1 << 32) - 1, np.uint32)
+    short = (own >> np.uint64(32)).astype(np.uint32)[:, None]
+    for at in range(0, len(short), 1024):  # bounds what a long text takes
+        np.minimum(least, (short[at : at + 1024] * TIMES + PLUS).min(0), out=least)
+    bands = least.reshape(BLOCKS, ROWS)
+    keys = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in bands]
+    h = own[:, None] * SPREAD
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    return (blocks @ np.array([1, 256, 65536])).tolist(), np.frombuffer(majority(h), np.int64).tolist()
+    return np.array(keys, np.uint64).view(np.int64).tolist(), np.frombuffer(majority(h), np.int64).tolist()
 
 
-@F.arrow_udf(T.StructType().add("blocks", T.ArrayType(T.IntegerType())).add("fp", T.ArrayType(T.LongType())))
+@F.arrow_udf(T.StructType().add("blocks", T.ArrayType(T.LongType())).add("fp", T.ArrayType(T.LongType())))
 def wides(texts: pa.Array) -> pa.Array:
     found = [wide(t.as_py() or "") for t in texts]
-    return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["blocks", "fp"])
+    return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["blocks", "fp"])
 
 
 def digest() -> Column:
@@ -159,9 +163,40 @@ def digest() -> Column:
 
 
 def radius_of(similarity: float, bits: int) -> int:
-    """Differing bits of two shingle sets at that Jaccard similarity, and one standard deviation more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi  # sets of like size
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    """Differing bits that two shingle sets at that Jaccard similarity practically never exceed: the mean and 5 deviations.
+
+    Sets of few shingles lie further apart than the angle says: 3 bits in 16 for 4 shingles and one more.
+    """
+    p = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, 3 / 16)
+    return round(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
+
+
+@F.arrow_udf(T.BinaryType())
+def shingle_sets(texts: pa.Array) -> pa.Array:
+    return pa.array([hashes_of(t.as_py() or "").tobytes() for t in texts], pa.binary())
+
+
+def alike(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets; 1 for two empty ones."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+@F.arrow_udf(T.DoubleType())
+def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([alike(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.float64())
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of digests whose shingle sets reach the similarity; only texts of pairs are read."""
+    key = F.coalesce("doc_id", F.lit(-1)).alias("key")
+    # one row stands for all copies of a text
+    need = facts.join(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("key"))
+    texts = docs.select(key, digest().alias("cls"), "text").join(need, ["key", "cls"], "left_semi").dropDuplicates(["cls"])
+    sets = stored(texts.select("cls", shingle_sets("text").alias("own")), "sets")
+    both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("cls").alias("v"), F.col("own").alias("y")), "v")
+    return both.filter(jaccard("x", "y") >= similarity).select("u", "v")
 
 
 def apart(x: str, y: str) -> Column:
@@ -175,7 +210,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     Exact copies are one vertex, so a text's copies are never paired. Nor are all pairs of a large group of near copies
     given out: members are first linked to the ends of their buckets, and only pairs whose members that leaves apart are
     looked at further. No link between different components is lost. Null texts are empty; all texts without words
-    have fingerprint zero and are copies.
+    are copies.
     """
     facts = stored(docs.select("doc_id", digest().alias("cls"), wides("text").alias("w")).select("doc_id", "cls", "w.*"), "wide")
     ids = facts.select("doc_id", "cls").distinct()
@@ -188,7 +223,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     # each member against the first and the last of its buckets
     ends = held.select(F.col("cls").alias("u"), F.explode(F.array("first", "last")).alias("v")).filter("u <> v").distinct()
     near = ends.join(fps.select(F.col("cls").alias("u"), F.col("fp").alias("x")), "u").join(fps.select(F.col("cls").alias("v"), F.col("fp").alias("y")), "v").filter(apart("x", "y") <= radius)
-    near = stored(near.select("u", "v"), "near")
+    near = stored(confirmed(stored(near.select("u", "v"), "candidates"), docs, facts, similarity), "near")
     # then, in buckets where that left several components, members of different ones against each other
     part = held.select("t", "key", "cls").join(components(near).withColumnRenamed("u", "cls"), "cls", "left").select("t", "key", "cls", F.coalesce("m", "cls").alias("c"))
     split = part.groupBy("t", "key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("t", "key")
@@ -196,6 +231,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     a = rest.select("t", "key", F.col("cls").alias("u"), F.col("c").alias("cu"), F.col("fp").alias("x"))
     b = rest.select("t", "key", F.col("cls").alias("v"), F.col("c").alias("cv"), F.col("fp").alias("y"))
     across = a.join(b, ["t", "key"]).filter((F.col("cu") < F.col("cv")) & (apart("x", "y") <= radius)).select("u", "v").distinct()
+    across = confirmed(stored(across, "candidates"), docs, facts, similarity)
     to = components(near.unionByName(across)).withColumnRenamed("u", "cls")
     return ids.join(to, "cls", "left").select("doc_id", "cls", F.coalesce("m", "cls").alias("root"))
 
