@@ -44,6 +44,21 @@ def test_small_tables_change_nothing(monkeypatch):
         assert own.ids(text) == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_tables_start_anew_between_texts_that_share_words(monkeypatch):
+    monkeypatch.setattr(bpe, "TABLE", 5)
+    own, lib = bpe.WordBpe(WORD), library(WORD)
+    first, second = (" ".join(f"shared word{k}x{i}, \u00c9t\u00e9" for i in range(200)) for k in range(2))
+    for texts in ([first], [second], [first, second], ["shared shared"], [""]):
+        assert [x[0] for x in own.encode(texts)] == [" ".join(map(str, lib.encode(t, add_special_tokens=False).ids)) for t in texts]
+
+
+def test_marks_and_letters_beside_words():
+    own, lib, rng = bpe.WordBpe(WORD), library(WORD), random.Random(8)
+    marks = [chr(c) for c in (*range(33, 0x250), 0x300, 0x301, 0x3A3, 0x1E9E, 0x2126)]
+    for text in ["".join(rng.choice(marks) for _ in range(rng.randrange(1, 7))) for _ in range(3000)] + [f"ab{a}{b}" for a in marks[:100] for b in marks[:32]]:
+        assert own.ids(text) == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bpe_rows(docs, empty):
     lib = library(WORD)
     got = sorted(map(tuple, bpe.encoded(docs, WORD).collect()), key=repr)

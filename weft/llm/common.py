@@ -50,3 +50,17 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def batches(values, most: int = 1_000_000):
+    """Lists of texts of about `most` code points together, so that a batch's lists stay small."""
+    held, n = [], 0
+    for v in values:
+        t = v.as_py() or ""
+        held.append(t)
+        n += len(t)
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
