@@ -3,7 +3,7 @@
 A word that the model knows is scored by its log frequency in each language. An unseen word is scored by its character
 n-grams (with marks at both ends), the longest length first; the first length at which any n-gram is known decides.
 Scores become a posterior over the languages per word, held above a floor so that one word can't rule out a language;
-a text's scores are the sums over its words.
+a text's scores are the sums over its words, and its score is tempered alike at every length (see WORTH).
 
 The model is fitted on a bounded sample of the labelled rows: `per_language` documents of each language, those with the
 least hash of the id. Word and n-gram tables hold at most `words` and `grams` entries a language.
@@ -11,7 +11,6 @@ least hash of the id. Word and n-gram tables hold at most `words` and `grams` en
 
 from __future__ import annotations
 
-import math
 import pickle
 import re
 import uuid
@@ -23,20 +22,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import remainder, stored
+from weft.llm.common import batches, remainder, stored
 
 UNDETERMINED = "und"
 LENGTHS = (5, 4, 3, 2, 1)
 FLOOR = -6.0
 #: Entries of a worker's table of words; beyond it the table starts anew.
-TABLE = 300_000
-WORD = re.compile(r"[^\W\d_]+")
+TABLE = 200_000
+#: A text's words aren't independent: n of them count as n * WORTH / (n + WORTH).
+WORTH = 200
+#: Word characters that are neither letters nor decimal digits: numerals such as superscripts (none lie beyond these code points).
+NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower case; a run of mere numerals such as superscripts isn't a word."""
-    found = WORD.findall(text.lower())
-    return found if len(found) > 8 else [w for w in found if any(map(str.isalpha, w))]
+    """Runs of letters, lower case."""
+    return WORD.findall(text.lower())
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -45,11 +47,12 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Backoff:
-    """Log frequencies of words and n-grams, a vector over the languages for each."""
+    """Log frequencies of words and n-grams: a place for each, and a row of one matrix over the languages at that place."""
 
     def __init__(self, counts: dict[str, Counter], words: int, grams: int):
         self.languages = sorted(counts)
-        self.known = self.vectors({lang: c for lang, c in counts.items()}, words, 2)
+        self.rows = np.zeros((0, len(counts)), np.float32)
+        self.known = self.placed(counts, words)
         self.grams = []
         for n in LENGTHS:
             of = {}
@@ -59,29 +62,40 @@ class Backoff:
                     for x in grams_of(w, n):
                         g[x] += min(k, 3)  # types rather than tokens: frequent words have entries of their own
                 of[lang] = g
-            self.grams.append(self.vectors(of, grams, 2))
-
-    def vectors(self, counts: dict[str, Counter], most: int, least: int) -> dict[str, tuple[float, ...]]:
-        keep = {w for c in counts.values() for w, k in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most] if k >= least}
-        size = {lang: sum(c.values()) + 0.1 * len(keep) for lang, c in counts.items()}
-        return {w: tuple(math.log((counts[lang][w] + 0.1) / size[lang]) for lang in self.languages) for w in keep}
-
-    def posterior(self, word: str) -> list[float]:
-        """Log posterior of each language given the word alone, each at least FLOOR."""
-        v = self.known.get(word)
-        if v is None:
-            v = (0.0,) * len(self.languages)
-            for n, table in zip(LENGTHS, self.grams):
-                if found := [table[g] for g in grams_of(word, n) if g in table]:
-                    v = [sum(x) / len(found) for x in zip(*found)]
-                    break
-        top = max(v)
-        whole = top + math.log(sum([math.exp(x - top) for x in v]))
-        return [max(x - whole, FLOOR) for x in v]
+            self.grams.append(self.placed(of, grams))
+
+    def placed(self, counts: dict[str, Counter], most: int, least: int = 2) -> dict[str, int]:
+        keep = sorted({w for c in counts.values() for w, k in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most] if k >= least})
+        if not keep:
+            return {}
+        n = np.array([[counts[lang][w] for lang in self.languages] for w in keep], float) + 0.1
+        size = np.array([sum(counts[lang].values()) for lang in self.languages]) + 0.1 * len(keep)
+        first = len(self.rows)
+        self.rows = np.concatenate([self.rows, np.log(n / size).astype(np.float32)])
+        return dict(zip(keep, range(first, len(self.rows))))
+
+    def places(self, word: str) -> list[int]:
+        """Rows that a word's score is the mean of: its own, or those of its longest known n-grams; none if nothing is known."""
+        if (at := self.known.get(word)) is not None:
+            return [at]
+        for n, table in zip(LENGTHS, self.grams):
+            if found := [table[g] for g in grams_of(word, n) if g in table]:
+                return found
+        return []
+
+    def posteriors(self, words: list[str]) -> np.ndarray:
+        """Log posterior of each language given each word alone, each at least FLOOR."""
+        at = [self.places(w) for w in words]
+        n = np.array(list(map(len, at)))
+        v = np.zeros((len(words), len(self.languages)))
+        if some := [k for x in at for k in x]:
+            v[n > 0] = np.add.reduceat(self.rows[some], np.r_[0, np.cumsum(n[n > 0])[:-1]], axis=0, dtype=float) / n[n > 0, None]
+        v -= v.max(1, keepdims=True)
+        return np.maximum(v - np.log(np.exp(v).sum(1, keepdims=True)), FLOOR).astype(np.float32)
 
 
 class Scorer:
-    """Predicts with a model; keeps the vectors of words that it has met."""
+    """Predicts with a model; keeps the rows of words that it has met."""
 
     def __init__(self, model: Backoff):
         self.model = model
@@ -89,32 +103,36 @@ class Scorer:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((4096, len(self.model.languages)), np.float32)
+        self.rows = np.zeros((0, len(self.model.languages)), np.float32)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
-        if not words or not self.model.languages:
-            return UNDETERMINED, 0.0
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        """(language, score) of each text; words that are new to the batch are looked up together."""
+        found = list(map(words_of, texts))
+        if not self.model.languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
         if len(self.at) > TABLE:
             self.clear()
-        at = self.at
-        for w in set(words).difference(at):
-            k = at[w] = len(at)
-            if k >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[k] = self.model.posterior(w)
-        total = self.rows[list(map(at.__getitem__, words))].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())  # a tie goes to the first language by name
-        # a text's words aren't independent: a long text counts as 200 of them
-        p = np.exp((total - total[best]) * min(1.0, 200 / len(words)))
-        return self.model.languages[best], float(1 / p.sum())
+        if new := list(set().union(*found).difference(self.at)):
+            self.at.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            self.rows = np.concatenate([self.rows, self.model.posteriors(new)])
+        out, at, rows = [], self.at.__getitem__, self.rows
+        for words in found:
+            if not words:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            total = rows[list(map(at, words))].sum(axis=0, dtype=np.float64)
+            best = int(total.argmax())  # a tie goes to the first language by name
+            p = np.exp((total - total[best]) * (WORTH / (len(words) + WORTH)))
+            out.append((self.model.languages[best], float(1 / p.sum())))
+        return out
 
 
 def trained(labelled: DataFrame, per_language: int = 1000, words: int = 50_000, grams: int = 30_000) -> bytes:
     """A pickled Backoff from labelled rows (doc_id, text, lang); rows with null text or language teach nothing.
 
     Ids are chosen first, from the id and language alone: those under a hash limit that leaves about twice as many as
-    wanted of each language, whatever its size, and of these the least. Their texts are read by one task, whose input is thus bounded; only the model comes to the driver.
+    wanted of each language, whatever its size, and of these the least. The scan for their texts is dealt as any other;
+    what it finds goes to one task, whose input is thus bounded, and only the model comes to the driver.
     """
     rows = labelled.select("doc_id", "text", "lang").filter("doc_id is not null and lang is not null")
     whole = 1 << 30
@@ -132,7 +150,7 @@ def trained(labelled: DataFrame, per_language: int = 1000, words: int = 50_000,
                 counts[lang].update(words_of(text or ""))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Backoff(dict(counts), words, grams))], pa.binary())], ["model"])
 
-    sample = rows.filter(F.col("doc_id").isin(ids)).select("text", "lang").coalesce(1)
+    sample = rows.filter(F.col("doc_id").isin(ids)).select("text", "lang").repartition(1)
     found = sample.mapInArrow(train, "model binary").collect() if ids else []
     return bytes(found[0][0]) if found else pickle.dumps(Backoff({}, words, grams))
 
@@ -149,7 +167,7 @@ def predictor(spark, model: bytes):
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(pickle.loads(shared.value))
-        found = [_scorers[key].predict(t.as_py()) for t in texts]
+        found = [x for part in batches(texts) for x in _scorers[key].predict(part)]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
 
     return predict
@@ -163,7 +181,7 @@ def teaches() -> Column:
 def languages(docs: DataFrame, per_language: int = 1000) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang; other columns are left out).
 
-    A null text, an empty one and one without a letter are `und` with score 0. A null id is held out. Repeated rows
+    A null text, an empty one and one without a letter (at any length) are `und` with score 0. A null id is held out. Repeated rows
     each have their row; with no labelled row at all every text is `und`.
     """
     model = trained(docs.filter(teaches()), per_language)
