@@ -13,11 +13,14 @@ anchor, so only windows over one are made, and texts without any are not cut at
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.llm.common import stored
+
 K, BANDS, ROWS = 5, 16, 2
 #: Notices as published with each license.
 TEMPLATES = {
@@ -60,16 +63,29 @@ def cut(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def shingled(words: Column) -> Column:
-    """Distinct hashes of the K-word runs of an array of words."""
-    last = F.greatest(F.size(words) - K, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i + 1, K)))))
+def shingled(words: Column, at: Column) -> Column:
+    """(pos, h): place and hash of the K-word runs that begin at the places of an array of words."""
+    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.concat_ws(" ", F.slice(words, i + 1, K))).alias("h")))
+
+
+def starts(words: Column) -> Column:
+    """Places at which a run of K words begins; a shorter text is one run."""
+    return F.sequence(F.lit(0), F.greatest(F.size(words) - K, F.lit(0)))
+
+
+#: The MinHash values of a shingle hash, one for each function.
+MINIMA = [f"m{j}" for j in range(BANDS * ROWS)]
 
 
-def banded(hashes: Column) -> Column:
-    """Band keys of an array of shingle hashes: 32 least values, two to a band."""
-    least = lambda j: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(j))))
-    return F.array(*[F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+def minima() -> list[Column]:
+    return [F.xxhash64(F.col("h"), F.lit(j)).alias(m) for j, m in enumerate(MINIMA)]
+
+
+def banded(rows: DataFrame, *by: str) -> DataFrame:
+    """(*by, band, bk) of each group of shingles: 32 least values, two to a band. Combines before the shuffle."""
+    least = rows.groupBy(*by).agg(*[F.min(m).alias(m) for m in MINIMA])
+    keys = [F.xxhash64(F.lit(b), *[F.col(m) for m in MINIMA[b * ROWS : (b + 1) * ROWS]]) for b in range(BANDS)]
+    return least.select(*by, F.posexplode(F.array(*keys)).alias("band", "bk"))
 
 
 def step_of(length: int) -> int:
@@ -81,47 +97,57 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
 
     docs: doc_id, text; other columns are left out. containment: the greatest share of the template's distinct shingles in
     one window; first_word: where the first such window begins, counted from 0. A null or empty text matches nothing.
-    Rows that share an id count as one document. Work is in proportion to the anchors in the texts.
+    Rows that share an id count as one document, null ids too. Work is in proportion to the anchors in the texts: each
+    shingle near one is hashed once, its MinHash values are made once, and windows and matches are grouped rows, so a
+    text or a template with very many shingles is never gathered in an array.
     """
     spark: SparkSession = docs.sparkSession
     raw = templates or TEMPLATES
     if sum(map(len, raw.values())) > 5_000_000:
         raise ValueError("templates are broadcast: at most 5 million characters together")
-    import re
-
     known = [Template(n, tuple(w for w in re.split(r"[^\w]+|_", t.lower()) if w)) for n, t in raw.items()]
     known = [t for t in known if t.words]
     anchors = sorted({a for t in known for a in t.anchors(least)})
     lengths = sorted({max(K, len(t.words)) for t in known})
+    span = max(n + 2 * step_of(n) for n in lengths)  # of a window with a step more on either side
+    low = docs.select("doc_id", "text", F.lower("text").alias("low"))
     some = F.lit(False)
     for a in anchors:
-        some = some | F.contains(F.lower(F.col("text")), F.lit(a))
-    words = docs.select("doc_id", "text").filter(some).select("doc_id", cut(F.col("text")).alias("words"))
+        some = some | F.contains(F.col("low"), F.lit(a))
+    words = low.filter(some).select("doc_id", F.xxhash64("text").alias("tk"), cut(F.col("text")).alias("words"))
     listed = F.array(*[F.lit(a) for a in anchors])
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(listed, F.get(F.col("words"), i)))
-    placed = words.filter(F.size("words") > 0).select("doc_id", "words", at.alias("at")).filter(F.size("at") > 0)
-
-    def windows(n: int) -> Column:
-        s = step_of(n)
-        starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.floor(F.greatest(p - n + 1, F.lit(0)) / s).cast("int") * s, F.floor(p / s).cast("int") * s, F.lit(s)))))
-        return F.transform(starts, lambda b: F.struct(F.lit(n).alias("n"), b.alias("first"), F.slice(F.col("words"), b + 1, n).alias("w"), F.slice(F.col("words"), F.greatest(b - s, F.lit(0)) + 1, n + s + F.least(b, F.lit(s))).alias("wide")))
-
-    each = placed.select("doc_id", F.explode(F.concat(*[windows(n) for n in lengths])).alias("x")).select("doc_id", "x.*")
-    hashed = each.select("doc_id", "n", "first", shingled(F.col("w")).alias("own"), shingled(F.col("wide")).alias("around"))
-    bands = hashed.select("doc_id", "n", "first", "around", F.posexplode(banded(F.col("own"))).alias("band", "key"))
-    of = spark.createDataFrame([(t.name, max(K, len(t.words)), list(t.words)) for t in known], "license string, n int, words array<string>").select("license", "n", shingled(F.col("words")).alias("whole"))
-    keys = of.select("license", "n", "whole", F.posexplode(banded(F.col("whole"))).alias("band", "key"))
-    met = bands.join(F.broadcast(keys), ["n", "band", "key"])  # size checked above
-    share = F.size(F.array_intersect("whole", "around")) / F.size("whole")
-    found = met.select("doc_id", "license", "first", share.alias("containment")).filter(F.col("containment") >= least)
+    placed = words.filter(F.size("words") > 0).select("doc_id", "tk", "words", at.alias("at")).filter(F.size("at") > 0)
+    last = F.greatest(F.size("words") - K, F.lit(0))
+    near = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.least(F.greatest(p - span, F.lit(0)), last), F.least(p + span, last)))))
+    shingles = stored(placed.select("doc_id", "tk", F.explode(shingled(F.col("words"), near)).alias("x")).select("doc_id", "tk", "x.pos", "x.h"), "shingles")
+
+    def frames(n: int) -> Column:
+        """The windows of n words, a step apart, that have a shingle at pos."""
+        s, pos = step_of(n), F.col("pos")
+        from_, to = F.ceil(F.greatest(pos - (n - K), F.lit(0)) / s).cast("int"), F.floor(pos / s).cast("int")
+        return F.transform(F.sequence(from_, to), lambda w: F.struct(F.lit(n).alias("n"), (w * s).alias("first")))
+
+    rows = [(t.name, max(K, len(t.words)), step_of(max(K, len(t.words))), len(t.shingles), list(t.words)) for t in known]
+    whole = spark.createDataFrame(rows, "license string, n int, s int, total int, words array<string>")
+    of = whole.select("license", "n", "s", "total", F.explode(shingled(F.col("words"), starts(F.col("words")))).alias("x")).select("license", "n", "s", "total", "x.h").distinct()
+    windows = shingles.select("doc_id", "tk", *minima(), F.explode(F.concat(*map(frames, lengths))).alias("x")).select("doc_id", "tk", "x.n", "x.first", *MINIMA)
+    keys = banded(of.select("license", "n", "s", "total", *minima()), "license", "n", "s", "total")
+    met = banded(windows, "doc_id", "tk", "n", "first").join(F.broadcast(keys), ["n", "band", "bk"])  # size checked above
+    # a candidate's place, with a step more on either side, lies in one or two bins of the text
+    begin, end = F.greatest(F.col("first") - F.col("s"), F.lit(0)), F.col("first") + F.col("n") + F.col("s") - K
+    place = met.select("doc_id", "tk", "license", "first", "total", begin.alias("begin"), end.alias("end")).distinct()
+    place = place.select("*", F.explode(F.sequence(F.floor(F.col("begin") / span), F.floor(F.col("end") / span))).alias("bin"))
+    same = shingles.join(F.broadcast(of.select("license", "h")), "h").select(F.col("doc_id").alias("d"), F.col("tk").alias("t"), F.col("license").alias("l"), "pos", "h", F.floor(F.col("pos") / span).alias("b"))
+    both = place.join(same, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t")) & (F.col("license") == F.col("l")) & (F.col("bin") == F.col("b")) & F.col("pos").between(F.col("begin"), F.col("end")))
+    share = both.groupBy("doc_id", "tk", "license", "first", "total").agg(F.count_distinct("h").alias("n"))
+    found = share.select("doc_id", "license", "first", (F.col("n") / F.col("total")).alias("containment")).filter(F.col("containment") >= least)
     return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first").cast("long").alias("first_word"))
 
 
 def oracle(least: float = 0.8) -> str:
     """DuckDB SQL over `documents` for (doc_id, license, containment): every run of K words against every template's,
     and for each run that matches the share of the template within a window that begins there."""
-    import re
-
     rows = []
     for name, notice in TEMPLATES.items():
         t = Template(name, tuple(w for w in re.split(r"[^\w]+|_", notice.lower()) if w))
