@@ -116,8 +116,9 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
         some = some | F.contains(F.col("low"), F.lit(a))
     words = low.filter(some).select("doc_id", F.xxhash64("text").alias("tk"), cut(F.col("text")).alias("words"))
     listed = F.array(*[F.lit(a) for a in anchors])
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(listed, F.get(F.col("words"), i)))
-    placed = words.filter(F.size("words") > 0).select("doc_id", "tk", "words", at.alias("at")).filter(F.size("at") > 0)
+    # no filter on what is made of words: it would be pushed below and cut the text anew for each place
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0))), lambda i: F.array_contains(listed, F.get(F.col("words"), i)))
+    placed = words.select("doc_id", "tk", "words", at.alias("at"))
     last = F.greatest(F.size("words") - K, F.lit(0))
     near = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.least(F.greatest(p - span, F.lit(0)), last), F.least(p + span, last)))))
     shingles = stored(placed.select("doc_id", "tk", F.explode(shingled(F.col("words"), near)).alias("x")).select("doc_id", "tk", "x.pos", "x.h"), "shingles")
