@@ -20,6 +20,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,23 +29,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.llm.bpe import byte_letters
 from weft.llm.common import fresh_dir
 
 MAGIC = b"WFT1"
 #: Entries of a worker's table of words; beyond it the table starts anew.
-TABLE = 900_000
-#: Marks that end a word in most texts.
-TAIL = ".,;:!?#$%&*|)]}\""
+TABLE = 500_000
 
 
 class ByteBpe:
     """Ids of texts by the tokenizers library, with a table of what it gave for text between single spaces.
 
-    A single space between two characters that aren't white space always begins a new token of the byte-level pattern
-    (a token holds at most one leading space), so the ids of a text are those of its parts, each with its space, side
-    by side. Texts with other runs of spaces, and those with special tokens, go to the library whole.
+    A single space or line feed between two characters that aren't white space always begins a new token of the byte-level
+    pattern (a token holds at most one leading space, and such a line feed is one by itself), so the ids of a text are those
+    of its parts, each with its space or line feed, side by side. Texts with other runs of white space, and those with
+    special tokens, go to the library whole. A new part of letters alone is one piece of the pattern, so the library's model
+    gets it without the steps before.
     """
 
+    #: Latin letters, one code point each, and marks that are a run of their own in the pattern. (An apostrophe may begin a contraction.)
+    plain = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([-.,;:!?#$%&*+/=^_|~()\\[\\]{}@\"]*)").fullmatch
+
     def __init__(self, path: str, end: int | None = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -52,59 +57,61 @@ class ByteBpe:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        self.model = self.lib.model.tokenize
         self.word = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = b"" if end is None else np.array([end], "<u4").tobytes()
-        self.odd = re.compile(r" \s|\s |<\|")
-        self.first = np.zeros(self.lib.get_vocab_size(), bool)
-        for token, i in self.lib.get_vocab().items():
-            self.first[i] = token[0] == "Ġ"  # the letter of a space
-        self.table: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.letters = dict(enumerate(byte_letters()))
+        #: Ids of a part with its space before it, and of one that begins a text or line; None if a text with it goes to the library whole.
+        self.table: dict[str, bytes | None] = {}
+        self.heads: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {"": b"", "\n": self.raw("\n")}
 
     def raw(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, parts: list[str]) -> None:
-        """Put the ids of new parts, each with its space, into the table.
-
-        Marks after a last letter or digit are a token run of their own in the pattern, so a part's ids are those of its
-        core and of its tail, and known cores cost nothing. (An apostrophe may begin a contraction and stays.)
-        """
-        split = {p: (core, p[len(core) :]) for p in parts if (core := p.rstrip(TAIL)) and core != p and core[-1].isalnum()}
-        self.whole(list({split[p][0] if p in split else p for p in parts}.difference(self.table)))
-        tails, table = self.tails, self.table
-        for p, (core, tail) in split.items():
-            if tail not in tails:
-                tails[tail] = self.raw(tail)
-            table[p] = table[core] + tails[tail]
-
-    def whole(self, parts: list[str]) -> None:
-        """Many new parts as one text: each begins with a token that has a leading space, and none else has."""
-        for k in range(0, len(parts), 2000):
-            some = parts[k : k + 2000]
-            ids = np.array(self.lib.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(self.first[ids])
-            if len(at) != len(some):
-                raise AssertionError("parts and their tokens don't agree")
-            raw, ends = ids.tobytes(), (at * 4).tolist() + [len(ids) * 4]
-            self.table.update(zip(some, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+    def part(self, p: str, space: str) -> bytes | None:
+        """Ids of a new part after a space, or after none: those of its word and of the marks after it, or of its lines."""
+        table = self.table if space else self.heads
+        if m := self.plain(p):
+            core, tail = m.groups()
+            if (ids := table.get(core)) is None:
+                piece = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+                ids = table[core] = array("I", [t.id for t in self.model("Ġ" + piece if space else piece)]).tobytes()
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = self.raw(tail)
+                ids += self.tails[tail]
+        elif not p or p[0].isspace() or p[-1].isspace() or "<|" in p:
+            ids = None
+        elif "\n" in p:
+            first, *rest = p.split("\n")
+            each = [self.part(first, space)] + [self.part(x, "") for x in rest]
+            ids = None if None in each else self.tails["\n"].join(each)
+        else:
+            ids = self.raw(space + p)
+        table[p] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, the end id last."""
-        if len(self.table) > TABLE:
-            self.table, self.tails = {}, {}
-        split: list[list[str] | None] = []
-        need: set[str] = set()
-        for t in texts:
-            if not t or t[0] == " " or t[-1] == " " or self.odd.search(t):
-                split.append(None)
-            else:
-                split.append(parts := t.split(" "))
-                need.update(parts[1:])
-        if new := list(need.difference(self.table)):
-            self.learn(new)
-        get = self.table.__getitem__
-        return [(self.raw(t) if s is None else self.raw(s[0]) + b"".join(map(get, s[1:]))) + self.end for t, s in zip(texts, split)]
+        if len(self.table) + len(self.heads) > TABLE:
+            self.table, self.heads = {}, {}
+        if len(self.tails) > TABLE:
+            self.tails = {"": b"", "\n": self.tails["\n"]}
+        split = [t.split(" ") for t in texts]
+        heads = [s.pop(0) for s in split]
+        for p in set().union(*split).difference(self.table):
+            self.part(p, " ")
+        for p in set(heads).difference(self.heads):
+            self.part(p, "")
+        get, out = self.table.__getitem__, []
+        for t, head, parts in zip(texts, heads, split):
+            ids = self.heads[head]
+            try:
+                out.append(ids + b"".join(map(get, parts)) + self.end)
+            except TypeError:  # a part of it has None
+                out.append(self.raw(t) + self.end)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -165,10 +172,10 @@ def trained(docs: DataFrame, tokenizer: str, end: int | None, sample: int, size:
             out = b""
         yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["dictionary"])
 
-    # ids first, from the id alone; their texts next: what one task reads is bound by the sample, whatever the input
+    # ids first, from the id alone; the scan for their texts is dealt as any other, and what it finds goes to one task
     ids = [r[0] for r in docs.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    few = docs.filter(F.col("doc_id").isin(ids) & (F.length("text") < 20_000))
-    rows = few.select("text").coalesce(1).mapInArrow(train, "dictionary binary").collect() if ids else []
+    few = docs.filter(F.col("doc_id").isin(ids))
+    rows = few.select("text").repartition(1).mapInArrow(train, "dictionary binary").collect() if ids else []
     return next((bytes(r[0]) for r in rows if r[0]), b"")
 
 
