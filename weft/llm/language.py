@@ -31,14 +31,21 @@ FLOOR = -6.0
 TABLE = 200_000
 #: A text's words aren't independent: n of them count as n * WORTH / (n + WORTH).
 WORTH = 200
-#: Word characters that are neither letters nor decimal digits: numerals such as superscripts (none lie beyond these code points).
-NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def letters_of(run: str) -> list[str]:
+    """The runs of letters in a run of letters and numerals such as superscripts."""
+    return "".join([c if c.isalpha() else " " for c in run]).split()
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower case."""
-    return WORD.findall(text.lower())
+    found = WORD.findall(text.lower())
+    if text.isascii():
+        return found
+    mixed = {w: letters_of(w) for w in set(found) if not w.isalpha()}
+    return [x for w in found for x in mixed.get(w, (w,))] if mixed else found
 
 
 def grams_of(word: str, n: int) -> list[str]:
