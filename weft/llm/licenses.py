@@ -121,7 +121,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
     placed = words.select("doc_id", "tk", "words", at.alias("at"))
     last = F.greatest(F.size("words") - K, F.lit(0))
     near = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.least(F.greatest(p - span, F.lit(0)), last), F.least(p + span, last)))))
-    shingles = stored(placed.select("doc_id", "tk", F.explode(shingled(F.col("words"), near)).alias("x")).select("doc_id", "tk", "x.pos", "x.h"), "shingles")
+    shingles = stored(placed.select("doc_id", "tk", F.explode(shingled(F.col("words"), near)).alias("x")).select("doc_id", "tk", "x.pos", "x.h").distinct(), "shingles")
 
     def frames(n: int) -> Column:
         """The windows of n words, a step apart, that have a shingle at pos."""
@@ -132,7 +132,8 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
     rows = [(t.name, max(K, len(t.words)), step_of(max(K, len(t.words))), len(t.shingles), list(t.words)) for t in known]
     whole = spark.createDataFrame(rows, "license string, n int, s int, total int, words array<string>")
     of = whole.select("license", "n", "s", "total", F.explode(shingled(F.col("words"), starts(F.col("words")))).alias("x")).select("license", "n", "s", "total", "x.h").distinct()
-    windows = shingles.select("doc_id", "tk", *minima(), F.explode(F.concat(*map(frames, lengths))).alias("x")).select("doc_id", "tk", "x.n", "x.first", *MINIMA)
+    # dealt by text once, while rows are narrow: windows and their wide rows then need no shuffle
+    windows = shingles.repartition("doc_id", "tk").select("doc_id", "tk", *minima(), F.explode(F.concat(*map(frames, lengths))).alias("x")).select("doc_id", "tk", "x.n", "x.first", *MINIMA)
     keys = banded(of.select("license", "n", "s", "total", *minima()), "license", "n", "s", "total")
     met = banded(windows, "doc_id", "tk", "n", "first").join(F.broadcast(keys), ["n", "band", "bk"])  # size checked above
     # a candidate's place, with a step more on either side, lies in one or two bins of the text
