@@ -16,21 +16,26 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import batches
+
 WORD = re.compile(r"[^\W_]+")
 STEP = 16
 COSINE, COPY, PARAPHRASE, ANSWER = 0.4, 0.8, 0.5, 0.8
 #: Windows looked at together.
-WINDOWS = 256
+WINDOWS = 4096
 #: Items of fewer words are found by their exact sequence of words only.
 LEAST_WORDS = 8
-#: Items searched for in one pass over the texts: what is broadcast is bound by it; more items take more passes.
-BLOCK = 5000
+#: Items, and their words, searched for in one pass over the texts: what is broadcast is bound by them; more take more passes.
+BLOCK, BLOCK_WORDS = 5000, 500_000
+#: Blocks whose terms are counted in one pass over the texts.
+COUNTED = 10
 
 
 def words_of(text: str) -> list[str]:
@@ -66,82 +71,110 @@ def window_of(words: int) -> int:
     return w
 
 
+class Words:
+    """The words of a batch of texts that items have too, in blocks of STEP words; every text begins a block of its own."""
+
+    def __init__(self, lists: list[list[str]], terms: dict[str, int]):
+        get, n = terms.get, np.array(list(map(len, lists)), np.int64)
+        ids = np.fromiter(chain.from_iterable(map(get, ws, repeat(-1)) for ws in lists), np.int32, n.sum())
+        self.blocks = n // STEP + 1
+        self.begin = np.cumsum(self.blocks) - self.blocks
+        self.end = self.begin + self.blocks
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+        known = np.flatnonzero(ids >= 0)
+        self.ids, self.at = ids[known], (np.repeat(self.begin, n) + place // STEP)[known]
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first block, block after the last) of the windows of n blocks, a block apart; a short text is one window."""
+        count = np.maximum(1, self.blocks - n + 1)
+        text = np.repeat(np.arange(len(count)), count)
+        first = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + self.begin[text]
+        return text, first, np.minimum(first + n, self.end[text])
+
+
 class Searcher:
-    """Finds items in texts; made once for a block of items."""
+    """Finds the items of one latent space in batches of texts."""
 
-    def __init__(self, terms: dict[str, int], vectors: np.ndarray, items: list[tuple[int, list[str], list[str]]], latent: np.ndarray):
-        self.terms, self.vectors = terms, vectors.astype(np.float32)  # idf times latent vector, by term; a zero row for terms of no weight
+    def __init__(self, every: dict[str, int], terms: dict[str, int], vectors: np.ndarray, items: list[tuple[int, list[str], list[str]]], latent: np.ndarray):
+        self.local = np.full(len(every), -1, np.int32)  # our number of a term of the pass
+        self.local[[every[w] for w in terms]] = list(terms.values())
+        self.vectors = vectors.astype(np.float32)  # idf times latent vector, by term; a zero row for terms of no weight
         self.ids = [i for i, _, _ in items]
         self.words = [[terms[w] for w in ws] for _, ws, _ in items]
         self.answers = [[terms[w] for w in an] for _, _, an in items]
         self.heavy = np.abs(self.vectors).sum(1) > 0
-        self.groups: dict[int, tuple[list[int], np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: For each item a row of bits by term, for terms that it has at least once, twice, ...: together its words.
+        self.masks = [np.zeros((len(items), (len(terms) + 63) // 64 * 8), np.uint8) for _ in range(max(Counter(ws).most_common(1)[0][1] for ws in self.words))]
+        for k, ws in enumerate(self.words):
+            for t, n in Counter(ws).items():
+                for m in self.masks[:n]:
+                    m[k, t >> 3] |= 1 << (t & 7)
+        self.masks = [m.view(np.uint64) for m in self.masks]
+        self.groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for w in {window_of(len(x)) for x in self.words}:
-            at = [k for k, x in enumerate(self.words) if window_of(len(x)) == w]
-            lengths = np.array([len(self.words[k]) for k in at])
-            padded = np.full((len(at), lengths.max()), len(terms))  # the last place of a presence table: never set
-            for row, k in enumerate(at):
-                padded[row, : lengths[row]] = self.words[k]
-            self.groups[w] = at, latent[at].T.astype(np.float32), padded, PARAPHRASE * lengths
-
-    def find(self, words: list[str]) -> list[tuple[int, float, float, int, bool]]:
-        """(item, share of its words in the longest common subsequence, cosine, first word of the window, whether a copy)."""
-        if len(words) < 4:
-            return []
-        get = self.terms.get
-        ids = np.array([get(w, -1) for w in words], np.int64)
-        at = np.flatnonzero(ids >= 0)
-        at = at[self.heavy[ids[at]]]
-        if len(at) < 3:
-            return []
-        block = at // STEP
+            at = np.array([k for k, x in enumerate(self.words) if window_of(len(x)) == w])
+            self.groups[w] = at, np.ascontiguousarray(latent[at].T.astype(np.float32)), PARAPHRASE * np.array([len(self.words[k]) for k in at])
+
+    def find(self, words: Words) -> dict[tuple[int, int], tuple[float, float, int]]:
+        """{(text, item): (share of its words in the longest common subsequence, cosine, first word of the window)}."""
+        ids = self.local[words.ids]
+        ids, at = ids[ids >= 0], words.at[ids >= 0]
+        weighty = self.heavy[ids]
+        if not weighty.any():
+            return {}
+        block = at[weighty]
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        sums = np.zeros((len(words) // STEP + 1, self.vectors.shape[1]), np.float32)
-        sums[block[starts]] = np.add.reduceat(self.vectors[ids[at]], starts, axis=0)
-        total = np.vstack([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
-        known = np.flatnonzero(ids >= 0)
-        held = known // STEP
-        best: dict[int, tuple] = {}
-        for w, (items, latent, padded, least) in self.groups.items():
-            n = w // STEP
-            first = np.arange(max(1, len(sums) - n + 1))
-            v = total[np.minimum(first + n, len(sums))] - total[first]
-            size = np.sqrt((v * v).sum(1))
-            some = size > 1e-6
-            if not some.any():
-                continue
+        total = np.zeros((words.end[-1] + 1, self.vectors.shape[1]))
+        total[block[starts] + 1] = np.add.reduceat(self.vectors[ids[weighty]], starts, axis=0)
+        np.cumsum(total, axis=0, out=total)
+        best: dict[tuple[int, int], tuple[float, float, int]] = {}
+        for w, (items, latent, least) in self.groups.items():
+            text, first, stop = words.windows(w // STEP)
             for lo in range(0, len(first), WINDOWS):
-                part = np.flatnonzero(some[lo : lo + WINDOWS]) + lo
-                if not len(part):
-                    continue
-                along = v[part].astype(np.float32) @ latent
-                rows, cs = np.nonzero(along >= COSINE * size[part, None])
+                f, e = first[lo : lo + WINDOWS], stop[lo : lo + WINDOWS]
+                v = total[e] - total[f]
+                size = np.sqrt(np.einsum("ij,ij->i", v, v))
+                along = v.astype(np.float32) @ latent
+                rows, cs = np.nonzero((along >= COSINE * size[:, None]) & (size > 1e-6)[:, None])
                 if not len(rows):
                     continue
-                # terms of each block from the one before the first window on, then of each window and a block beside it
-                within = slice(*np.searchsorted(held, (lo - 1, min(lo + WINDOWS, len(first)) + n)))
-                blocks = np.zeros((min(WINDOWS, len(first) - lo) + n + 1, len(self.terms) + 1), bool)
-                blocks[held[within] - lo + 1, ids[known[within]]] = True
-                hit, place = np.unique(rows, return_inverse=True)
-                present = np.zeros((len(hit), blocks.shape[1]), bool)
-                for d in range(n + 2):
-                    present |= blocks[part[hit] - lo + d]
-                # no subsequence is longer than the number of the item's words that are there at all
-                good = present[place[:, None], padded[cs]].sum(1) >= least[cs]
+                # the window and a block on either side, within its text
+                left, right = np.maximum(f - 1, words.begin[text[lo : lo + WINDOWS]]), np.minimum(e + 1, words.end[text[lo : lo + WINDOWS]])
+                good = self.enough(rows, items[cs], least[cs], left, right, ids, at)
+                begin, end = np.searchsorted(at, left), np.searchsorted(at, right)
                 last, listed = -1, []
                 for r, c in zip(rows[good].tolist(), cs[good].tolist()):
-                    b, k = int(first[part[r]]) * STEP, items[c]
-                    if k in best and best[k][0] >= 1.0:
+                    k, t = int(items[c]), int(text[lo + r])
+                    if (t, k) in best and best[t, k][0] >= 1.0:
                         continue
                     if r != last:
-                        near = ids[max(0, b - STEP) : b + w + STEP]
-                        last, listed = r, near[near >= 0].tolist()
+                        last, listed = r, ids[begin[r] : end[r]].tolist()
                     share = lcs(self.words[k], listed) / len(self.words[k])
                     if share < PARAPHRASE or share < COPY and lcs(self.answers[k], listed) < ANSWER * len(self.answers[k]):
                         continue
-                    if k not in best or share > best[k][0]:
-                        best[k] = share, float(along[r, c] / size[part[r]]), b
-        return [(self.ids[k], s, c, b, s >= COPY) for k, (s, c, b) in sorted(best.items())]
+                    if (t, k) not in best or share > best[t, k][0]:
+                        best[t, k] = share, float(along[r, c] / size[r]), int(f[r] - words.begin[t]) * STEP
+        return best
+
+    def enough(self, rows: np.ndarray, items: np.ndarray, least: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For pairs of window and item, whether as many of the item's words are there at all: no common subsequence is longer."""
+        hit, place = np.unique(rows, return_inverse=True)
+        lo, hi = left[hit[0]], right[hit].max()
+        own = slice(*np.searchsorted(at, (lo, hi)))
+        here = np.zeros((hi - lo, self.masks[0].shape[1] * 64), bool)
+        here[at[own] - lo, ids[own]] = True
+        bits = np.packbits(here, axis=1, bitorder="little").view(np.uint64)
+        there = np.zeros((len(hit), bits.shape[1]), np.uint64)
+        for d in range((right - left).max()):
+            inside = left[hit] + d < right[hit]
+            there[inside] |= bits[left[hit][inside] + d - lo]
+        out = np.empty(len(rows), bool)
+        for k in range(0, len(rows), 8192):
+            part = slice(k, k + 8192)
+            has = there[place[part]]
+            n = sum(np.bitwise_count(has & m[items[part]]).sum(1, dtype=np.int32) for m in self.masks)
+            out[part] = n >= least[part]
+        return out
 
 
 class Short:
@@ -163,9 +196,22 @@ class Short:
         return [(i, 1.0, 1.0, at, True) for i, at in sorted(best.items())]
 
 
-def found_in(searchers: list[Searcher | Short], text: str | None) -> list[tuple[int, float, float, int, bool]]:
-    words = words_of(text) if text else []
-    return [x for s in searchers for x in s.find(words)] if words else []
+class Pass:
+    """All searchers of one pass over the texts."""
+
+    def __init__(self, terms: dict[str, int], searchers: list[Searcher], short: Short):
+        self.terms, self.searchers, self.short = terms, searchers, short
+
+    def find(self, texts: list[str]) -> list[list[tuple[int, float, float, int, bool]]]:
+        """For each text (item, share of its words in the longest common subsequence, cosine, first word of the window, whether a copy)."""
+        lists = list(map(words_of, texts))
+        out = list(map(self.short.find, lists)) if self.short.by_first else [[] for _ in lists]
+        if self.searchers:
+            words = Words(lists, self.terms)
+            for s in self.searchers:
+                for (t, k), (share, cosine, at) in sorted(s.find(words).items()):
+                    out[t].append((s.ids[k], share, cosine, at, share >= COPY))
+        return out
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], terms: dict[str, int], idf: np.ndarray) -> np.ndarray:
@@ -226,24 +272,38 @@ def counted(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
     return total, df
 
 
-def prepared(docs: DataFrame, items: DataFrame, dimensions: int = 128) -> list[bytes]:
-    """Pickled lists of searchers, one list for each pass of at most BLOCK items (item_id, text) with words.
+def blocks_of(items: DataFrame, most: int) -> Iterator[list[tuple[int, str, list[str]]]]:
+    """The distinct items (id, text, words) in blocks of at most `most` items and BLOCK_WORDS words, or one item; the driver holds some blocks at a time."""
+    held, n = [], 0
+    rows = items.select("item_id", "text").filter("item_id is not null and text is not null").distinct().orderBy("item_id", "text")
+    for i, text in rows.toLocalIterator():
+        if not (ws := words_of(text)):
+            continue
+        if held and (len(held) == most or n + len(ws) > BLOCK_WORDS):
+            yield held
+            held, n = [], 0
+        held.append((i, text, ws))
+        n += len(ws)
+    if held:
+        yield held
 
-    A searcher has no more items than dimensions, so that its latent space holds every item whole however many there are.
+
+def prepared(docs: DataFrame, items: DataFrame, dimensions: int = 128) -> Iterator[bytes]:
+    """Pickled Pass of each block of items (item_id, text) with words.
+
+    A searcher has no more items than dimensions, so that its latent space holds every item whole however many there
+    are. Document frequencies are counted for COUNTED blocks at a time.
     """
-    rows = sorted({(r[0], r[1]) for r in items.select("item_id", "text").filter("item_id is not null and text is not null").toLocalIterator() if words_of(r[1])})
-    out = []
-    for lo in range(0, len(rows), BLOCK):
-        part = [(i, t, words_of(t)) for i, t in rows[lo : lo + BLOCK]]
-        short, long = [(i, ws) for i, _, ws in part if len(ws) < LEAST_WORDS], [x for x in part if len(x[2]) >= LEAST_WORDS]
-        searchers: list[Searcher | Short] = [Short(short)] if short else []
-        if long:
-            every = {w: k for k, w in enumerate(sorted({w for _, _, ws in long for w in ws}))}
-            n, df = counted(docs, every)
-            for at in range(0, len(long), dimensions):
-                searchers.append(searcher_of(docs.sparkSession, long[at : at + dimensions], every, n, df, dimensions))
-        out.append(pickle.dumps(searchers))
-    return out
+    blocks = blocks_of(items, BLOCK)
+    while some := list(islice(blocks, COUNTED)):
+        every = {w: k for k, w in enumerate(sorted({w for part in some for _, _, ws in part if len(ws) >= LEAST_WORDS for w in ws}))}
+        n, df = counted(docs, every) if every else (0, np.zeros(0))
+        for part in some:
+            short, long = [(i, ws) for i, _, ws in part if len(ws) < LEAST_WORDS], [x for x in part if len(x[2]) >= LEAST_WORDS]
+            terms = {w: k for k, w in enumerate(sorted({w for _, _, ws in long for w in ws}))}
+            own = df[[every[w] for w in terms]]
+            searchers = [searcher_of(docs.sparkSession, long[at : at + dimensions], terms, n, own, dimensions) for at in range(0, len(long), dimensions)]
+            yield pickle.dumps(Pass(terms, searchers, Short(short)))
 
 
 def searcher_of(spark, part: list[tuple[int, str, list[str]]], every: dict[str, int], n: int, df: np.ndarray, dimensions: int) -> Searcher:
@@ -263,15 +323,15 @@ def searcher_of(spark, part: list[tuple[int, str, list[str]]], every: dict[str,
     vectors = idf[:, None] * v
     latent = np.array([vectors[[terms[w] for w in ws]].sum(0) for _, _, ws in part])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Searcher(terms, vectors, [(i, ws, answer_of(t)) for i, t, ws in part], latent)
+    return Searcher(every, terms, vectors, [(i, ws, answer_of(t)) for i, t, ws in part], latent)
 
 
-_searchers: dict[str, list[Searcher | Short]] = {}
+_searchers: dict[str, Pass] = {}
 FOUND = "array<struct<item_id:long,share:double,cosine:double,first_word:long,copy:boolean>>"
 
 
 def finder(spark, searchers: bytes):
-    """A function of a text column: the items found. The searchers of a pass are broadcast; BLOCK bounds their size."""
+    """A function of a text column: the items found. The searchers of a pass are broadcast; BLOCK and BLOCK_WORDS bound their size."""
     shared, key = spark.sparkContext.broadcast(searchers), uuid.uuid4().hex
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64()), ("first_word", pa.int64()), ("copy", pa.bool_())]))
 
@@ -281,7 +341,7 @@ def finder(spark, searchers: bytes):
             _searchers.clear()
             _searchers[key] = pickle.loads(shared.value)
         names = ("item_id", "share", "cosine", "first_word", "copy")
-        return pa.array([[dict(zip(names, x)) for x in found_in(_searchers[key], t.as_py())] for t in texts], kind)
+        return pa.array([[dict(zip(names, x)) for x in found] for part in batches(texts) for found in _searchers[key].find(part)], kind)
 
     return find
 
