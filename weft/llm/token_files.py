@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.bpe import byte_letters
-from weft.llm.common import fresh_dir
+from weft.llm.common import batches, fresh_dir
 
 MAGIC = b"WFT1"
-#: Entries of a worker's table of words; beyond it the table starts anew.
-TABLE = 500_000
+#: Entries of a worker's tables of words; beyond it a table starts anew, and the one before is kept to look words up in.
+TABLE = 400_000
 
 
 class ByteBpe:
@@ -64,6 +64,7 @@ class ByteBpe:
         #: Ids of a part with its space before it, and of one that begins a text or line; None if a text with it goes to the library whole.
         self.table: dict[str, bytes | None] = {}
         self.heads: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {"": b"", "\n": self.raw("\n")}
 
     def raw(self, text: str) -> bytes:
@@ -74,7 +75,7 @@ class ByteBpe:
         table = self.table if space else self.heads
         if m := self.plain(p):
             core, tail = m.groups()
-            if (ids := table.get(core)) is None:
+            if (ids := table.get(core) or (self.before.get(core) if space else None)) is None:
                 piece = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
                 ids = table[core] = array("I", [t.id for t in self.model("Ġ" + piece if space else piece)]).tobytes()
             if tail:
@@ -94,14 +95,20 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, the end id last."""
-        if len(self.table) + len(self.heads) > TABLE:
-            self.table, self.heads = {}, {}
+        if len(self.table) > TABLE:
+            self.before, self.table = self.table, {}
+        if len(self.heads) > TABLE:
+            self.heads = {}
         if len(self.tails) > TABLE:
             self.tails = {"": b"", "\n": self.tails["\n"]}
         split = [t.split(" ") for t in texts]
         heads = [s.pop(0) for s in split]
-        for p in set().union(*split).difference(self.table):
-            self.part(p, " ")
+        table, before = self.table, self.before
+        for p in set().union(*split).difference(table):
+            if p in before:
+                table[p] = before[p]
+            else:
+                self.part(p, " ")
         for p in set(heads).difference(self.heads):
             self.part(p, "")
         get, out = self.table.__getitem__, []
@@ -197,7 +204,7 @@ def token_files(docs: DataFrame, tokenizer: str, out: str | None = None, end: in
     folder = f"{out}/shards"
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
@@ -216,15 +223,14 @@ def token_files(docs: DataFrame, tokenizer: str, out: str | None = None, end: in
             ids, raws, held, k = [], [], 0, k + 1
             return row
 
-        for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1)
-            for lo in range(0, len(keys), 200):
-                for i, raw in zip(keys[lo : lo + 200], code.encode([t.as_py() for t in texts[lo : lo + 200]])):
-                    ids.append(i)
-                    raws.append(raw)
-                    held += len(raw)
-                    if held >= shard_bytes:
-                        yield closed()
+        for b in arrived:
+            keys = iter(b.column(0).to_pylist())
+            for raw in (x for some in batches(b.column(1)) for x in code.encode(some)):
+                ids.append(next(keys))
+                raws.append(raw)
+                held += len(raw)
+                if held >= shard_bytes:
+                    yield closed()
         if ids:
             yield closed()
 
