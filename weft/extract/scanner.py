@@ -362,12 +362,30 @@ def calls(language: str, src: str) -> list[Call]:
     lang, place = LANGUAGES[language], Places(src)
     code = blanked(src, lang)
     defined = {(s.sel_line, s.sel_col) for s in definitions(language, src)}
+    words = NOT_CALLED | WORDS_OF.get(language, frozenset())
+    specs = interfaces(code) if language == "Go" else []
     out = []
     for m in CALLED.finditer(code):
-        before = code[: m.start()].rstrip()[-9:]
-        if m["n"] in NOT_CALLED or re.search(r"\b(?:new|fn|func|fun|function|class|struct|enum|record|init)$", before) or (at := place(m.start("n"))) in defined:
+        before = code[max(0, m.start() - 40) : m.start()].rstrip()[-9:]
+        if m["n"] in words or re.search(r"\b(?:new|fn|func|fun|function|class|struct|enum|record|init)$", before) or (at := place(m.start("n"))) in defined:
             continue
-        if language in ("Rust",) and code[: m.start()].endswith("#["):
+        if language in ("Rust",) and before.endswith("#[") or any(lo < m.start() < hi for lo, hi in specs):
             continue
         out.append(Call(m["n"], *at))
     return out
+
+
+#: Words before a parenthesis that are syntax in one language: visibility, arrow functions, constructor chaining.
+WORDS_OF = {"Rust": frozenset({"pub"}), "TypeScript": frozenset({"async"}), "Tsx": frozenset({"async"}), "CSharp": frozenset({"base", "this"})}
+
+
+def interfaces(code: str) -> list[tuple[int, int]]:
+    """Spans of the bodies of Go interfaces: their method specifications look like calls."""
+    out = []
+    for m in re.finditer(r"\binterface\s*\{", code):
+        depth, at = 1, m.end()
+        while at < len(code) and depth:
+            depth += (code[at] == "{") - (code[at] == "}")
+            at += 1
+        out.append((m.end(), at))
+    return out

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from weft import model
 from weft.functions import text
-from weft.operators import graph, maintain, precise, project, query, resolve
+from weft.operators import extraction, graph, maintain, precise, project, query, resolve
+from weft.plans import cases
 from weft.sources import fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -410,12 +411,12 @@ def unit_coverage(spark, d):
 
 # --- output --------------------------------------------------------------------------------------------------------
 
-ROWS = f"r AS (SELECT symbol_id, 'sym:'||symbol_id||' | '||name_path||' | '||file||':'||line||'-'||end_line||' | '||(CASE kind WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 7 THEN 'module' WHEN 8 THEN 'field' END) AS row FROM hit WHERE symbol_id <= 5000)"
+ROWS = f"r AS (SELECT symbol_id, 'sym:'||symbol_id||' | '||name_path||' | '||file||':'||line||'-'||end_line||' | '||(CASE kind WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 7 THEN 'module' WHEN 8 THEN 'field' END) AS row FROM hit)"
 
 
 def hit_rows(spark, d) -> DataFrame:
     g = fixture.graph(spark, d)
-    found = graph.hits(g.symbol.filter("symbol_id <= 5000"), g.file)
+    found = graph.hits(g.symbol, g.file)
     return found.select("symbol_id", project.hit_row(found).alias("row"))
 
 
@@ -430,6 +431,30 @@ def token_budget(spark, d):
     return longs(out.withColumn("used", F.col("used") - F.lit(project.estimate("outline") + project.estimate("sym | name_path | file:lines | kind") + project.estimate("read") + 8 - 28)).filter("used <= 22000"), "used")
 
 
+KIND_SQL = "(CASE {} WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 7 THEN 'module' WHEN 8 THEN 'field' END)"
+
+
+@entry(f"SELECT symbol_id, 'sym:'||symbol_id||' | '||name_path||' | '||file||':'||line||'-'||end_line||' | '||{KIND_SQL.format('kind')}||' | '||depth||' | ts/ambiguous' AS row FROM ({WALKED} ORDER BY depth, name_path, symbol_id LIMIT 80)", walk_sql(4, False))
+def render_walk(spark, d):
+    rows = walked(spark, d, 4, 80, False)
+    return rows.select("symbol_id", project.edge_row(rows).alias("row"))
+
+
+@entry("SELECT o.file_id, o.line_no, o.name, coalesce(y.name_path, '(top-level)')||' | '||doc.path||':'||o.line_no||' | call' AS row FROM occurrence o JOIN doc ON doc.file_id = o.file_id LEFT JOIN symbol y ON y.symbol_id = o.enclosing_id")
+def render_refs(spark, d):
+    g = fixture.graph(spark, d)
+    held = g.occurrence.join(g.symbol.select(F.col("symbol_id").alias("enclosing_id"), F.col("name_path").alias("enclosing")), "enclosing_id", "left")
+    held = held.join(g.file.select("file_id", F.col("path").alias("file")), "file_id").withColumn("line", F.col("line_no"))
+    return held.select("file_id", "line_no", "name", project.ref_row(held).alias("row"))
+
+
+@entry("SELECT file||':'||line_no||' | '||coalesce('sym:'||enclosing_id||' '||enclosing, '-')||' | '||text AS row FROM (SELECT g.file, g.line_no, g.text, y.symbol_id AS enclosing_id, y.name_path AS enclosing, row_number() OVER (PARTITION BY g.file_id, g.line_no ORDER BY y.end_line - y.start_line, y.symbol_id) AS r FROM g LEFT JOIN symbol y ON y.file_id = g.file_id AND g.line_no BETWEEN y.start_line AND y.end_line) WHERE r = 1", GREP)
+def render_grep(spark, d):
+    g = fixture.graph(spark, d)
+    rows = query.grep(g.line, g.file, g.symbol, "thea[a-z]+ [a-z]+on", True)
+    return rows.select(project.grep_row(rows).alias("row"))
+
+
 @entry(f"SELECT {HIT}, (SELECT count(*) FROM symbol) > 40 AS cut FROM hit ORDER BY symbol_id LIMIT 40")
 def limit_probe(spark, d):
     g = fixture.graph(spark, d)
@@ -437,10 +462,10 @@ def limit_probe(spark, d):
     return rows.withColumn("cut", F.lit(cut))
 
 
-@entry("SELECT y.symbol_id, CAST(0 AS BIGINT) AS line_no, '# sym:'||y.symbol_id||' '||name_path||'  '||doc.path||':'||start_line||'-'||end_line AS text FROM symbol y JOIN doc ON doc.file_id = y.file_id WHERE y.symbol_id % 10 = 1 UNION ALL SELECT y.symbol_id, l.line_no, printf('%5d  ', l.line_no)||l.line FROM symbol y JOIN line l ON l.file_id = y.file_id AND l.line_no BETWEEN y.start_line AND y.end_line WHERE y.symbol_id % 10 = 1")
+@entry("SELECT y.symbol_id, CAST(0 AS BIGINT) AS line_no, '# sym:'||y.symbol_id||' '||name_path||'  '||doc.path||':'||start_line||'-'||end_line AS text FROM symbol y JOIN doc ON doc.file_id = y.file_id UNION ALL SELECT y.symbol_id, l.line_no, printf('%5d  ', l.line_no)||l.line FROM symbol y JOIN line l ON l.file_id = y.file_id AND l.line_no BETWEEN y.start_line AND y.end_line")
 def render_code(spark, d):
     g = fixture.graph(spark, d)
-    return project.rendered_code(g.symbol.filter("symbol_id % 10 = 1"), g.file, g.line)
+    return project.rendered_code(g.symbol, g.file, g.line)
 
 
 def export(spark, d, form: str) -> DataFrame:
@@ -512,6 +537,34 @@ def gc_orphans(spark, d):
     return longs(maintain.orphans(pool, g.file.filter("file_id % 5 <> 0"), g.symbol.filter("file_id % 5 <> 0")), "id")
 
 
+# --- extraction ----------------------------------------------------------------------------------------------------
+
+
+def extracted(language: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Symbols and calls of one source file per document, with the document's id in its names."""
+    ext, source = cases.SOURCES[language]
+    pattern = rf"/d(\d+)\.{ext}$"
+
+    def run(spark, d):
+        n = F.col("file_id").cast("string")
+        files = fixture.documents(spark, d).select(F.concat(F.lit("src/d"), n, F.lit(f".{ext}")).alias("path"), F.lit(model.EXTENSIONS[ext]).alias("language"), F.replace(F.lit(source), F.lit("{n}"), n).alias("content"))
+        kind = F.when(F.col("what") == "call", "call").otherwise(model.labelled(F.col("kind"), model.KINDS))
+        return extraction.parsed(files).select(F.regexp_extract("path", pattern, 1).cast("long").alias("file_id"), F.coalesce("name_path", "name").alias("name_path"), "name", kind.alias("kind"), "start_line", "end_line")
+
+    return run
+
+
+def extracted_sql(language: str) -> str:
+    rows = ", ".join(f"('{p}', '{p.rsplit('/', 1)[-1]}', '{k}', {a}, {b})" for p, k, a, b in cases.expected(language))
+    number = "'{n}', CAST(file_id AS VARCHAR)"
+    return sql(f"SELECT file_id, replace(t.p, {number}) AS name_path, replace(t.n, {number}) AS name, t.k AS kind, CAST(t.a AS BIGINT) AS start_line, CAST(t.b AS BIGINT) AS end_line FROM doc, (VALUES {rows}) t(p, n, k, a, b)")
+
+
+for _language in cases.SOURCES:
+    QUERIES[f"extract_{_language}"] = extracted(_language)
+    ORACLES[f"extract_{_language}"] = extracted_sql(_language)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {("resolve" if k == "resolve_names" else k): v for k, v in QUERIES.items()}
 
