@@ -108,6 +108,75 @@ def test_watch(spark, tmp_path):
     assert names(ix.callers("one")) == {"two"}
 
 
+def test_watch_sees_edits_and_deletions(spark, tmp_path):
+    root = tmp_path / "t"
+    write(root, {"a.rs": "fn one() {}\n", "b.rs": "fn two() { one() }\n", "c.rs": "fn three() { one() }\n"})
+    ix = Index(spark, str(root), str(tmp_path / "ix"))
+    ix.build()
+    q = ix.watch(str(tmp_path / "ck"))
+    try:
+        q.processAllAvailable()
+        write(root, {"b.rs": "fn two() { }\nfn four() { one() }\n"})
+        q.processAllAvailable()
+        assert names(ix.callers("one")) == {"three", "four"}
+        os.remove(root / "c.rs")
+        q.processAllAvailable()
+        assert names(ix.callers("one")) == {"four"}
+    finally:
+        q.stop()
+
+
+def test_ids_are_never_given_twice(spark, tmp_path):
+    root = tmp_path / "t"
+    write(root, {"a.rs": "fn one() {}\n", "z.rs": "fn zed() {}\n"})
+    ix = Index(spark, str(root), str(tmp_path / "ix"))
+    ix.build()
+    gone = {r["name"]: (r["symbol_id"], r["file_id"]) for r in ix.symbol.collect()}["zed"]
+    os.remove(root / "z.rs")
+    ix.reconcile()
+    write(root, {"y.rs": "fn new() {}\n"})
+    ix.reconcile()
+    now = {r["name"]: (r["symbol_id"], r["file_id"]) for r in ix.symbol.collect()}["new"]
+    assert now[0] > gone[0] and now[1] > gone[1]
+    ix.build()
+    assert {r["name"]: (r["symbol_id"], r["file_id"]) for r in ix.symbol.collect()}["new"] == now
+
+
+def test_reconcile_equals_build(spark, tmp_path):
+    """After random edits the tables are those of resolving everything anew, by ids of the same symbols."""
+    from weft.operators import resolve
+
+    rng, root = random.Random(17), tmp_path / "t"
+    body = lambda: "".join(f"fn f{rng.randrange(6)}() {{ f{rng.randrange(6)}(); }}\n" for _ in range(rng.randrange(1, 4)))
+    write(root, {f"d{k}/a.rs": body() for k in range(5)})
+    ix = Index(spark, str(root), str(tmp_path / "ix"))
+    ix.build()
+    for step in range(2):
+        write(root, {f"d{rng.randrange(7)}/a.rs": body() + f"// {step}\n" for _ in range(2)})
+        if step:
+            os.remove(root / "d1/a.rs")
+        ix.reconcile()
+        for mine, whole in ((ix.edge, resolve.edges(ix.call, ix.symbol)), (ix.occurrence, resolve.occurrences(ix.call, ix.symbol))):
+            assert sorted(map(tuple, mine.select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_reconcile_by_git(spark, tmp_path):
+    root = tmp_path / "r"
+    write(root, {"a.rs": "fn a() {}\n", "b.rs": "fn b() { a() }\n", "u/Cargo.toml": "", "u/c.rs": "fn c() {}\n"})
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", "-C", str(root), *a], check=True, capture_output=True)
+    run("init"), run("add", "."), run("commit", "-m", "1")
+    ix = Index(spark, str(root), str(tmp_path / "ix"))
+    ix.build()
+    assert ix.store.meta()["scanner_mode"] == "git"
+    assert ix.reconcile() == {"added": 0, "changed": 0, "deleted": 0, "unchanged": 3}
+    write(root, {"b.rs": "fn b() { c() }\n", "u/new.rs": "fn n() { a() }\n"})
+    run("rm", "a.rs"), run("commit", "-m", "2")
+    assert ix.reconcile() == {"added": 1, "changed": 1, "deleted": 1, "unchanged": 1}
+    assert {r["path"]: r["index_unit"] for r in ix.file.collect()} == {"b.rs": ".", "u/c.rs": "u", "u/new.rs": "u"} and names(ix.callers("c")) == {"b"}
+    run("checkout", "b.rs")  # git reports nothing any more, but the path was looked at in another state
+    assert ix.reconcile()["changed"] == 1 and names(ix.callers("c")) == set()
+
+
 def test_git_changes(spark, tmp_path):
     root = tmp_path / "r"
     write(root, {"a.rs": "fn a() {}\n" * 20, "gone.rs": "fn g() {}\n"})
@@ -146,6 +215,27 @@ def test_precise_index(spark, tmp_path):
     assert {(name[r["src"]], r["provenance"]) for r in ix.edge.collect()} == {("caller", 3), ("callee2", 3)}
 
 
+def test_precise_edges_survive_a_reconcile(spark, tmp_path):
+    root = tmp_path / "r"
+    write(root, {"u/a.rs": "fn callee() {}\nfn caller() {\n  x.callee()\n}\n", "other.rs": "fn lone() {}\n", "third.rs": "fn callee() {}\nfn third() { callee() }\n"})
+    occ = lambda line, sym, role: (2, message((1, bytes([line, 0, 3])), (2, sym.encode()), (3, role)))
+    (tmp_path / "i.scip").write_bytes(message((1, message((3, f"file://{root}".encode()))), (2, message((1, b"u/a.rs"), occ(0, "s1", 1), occ(2, "s1", 0)))))
+    ix = Index(spark, str(root), str(tmp_path / "ix"))
+    ix.build([str(tmp_path / "i.scip")])
+    told = lambda: {(r["a"], r["f"], r["provenance"]) for r in ix.edge.join(ix.symbol.selectExpr("symbol_id as src", "name as a"), "src").join(ix.symbol.selectExpr("symbol_id as dst", "file_id"), "dst").join(ix.file.selectExpr("file_id", "path as f"), "file_id").collect()}
+    both = {("third", "third.rs", 0), ("third", "u/a.rs", 0)}
+    assert told() == both | {("caller", "u/a.rs", 2)} and ix.store.meta()["scip_coverage"] == "1/3 (33%)"
+    os.remove(root / "other.rs")
+    ix.reconcile()
+    assert told() == both | {("caller", "u/a.rs", 2)} and ix.store.meta()["scip_coverage"] == "1/2 (50%)"
+    write(root, {"third.rs": "fn nothing() {}\n"})  # a candidate of a name that the covered file calls is gone
+    ix.reconcile()
+    assert told() == {("caller", "u/a.rs", 2)}
+    write(root, {"u/a.rs": "fn callee() {}\nfn caller() {\n  x.callee() // edited\n}\n"})
+    ix.reconcile()
+    assert told() == {("caller", "u/a.rs", 0)} and ix.store.meta()["scip_coverage"] == "0/2 (0%)"
+
+
 def test_trusted_edges_can_stay(spark):
     e = spark.createDataFrame([(1, 2, 1, 2, 0), (1, 3, 1, 0, 1)], "src long, dst long, kind long, provenance long, resolution long")
     new = spark.createDataFrame([(1, 2), (1, 3)], "src long, dst long")

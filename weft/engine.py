@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import extraction, graph, maintain, precise, project, query, resolve
-from weft.plans.store import Store, stored
+from weft.operators import extraction, graph, incremental, maintain, precise, project, query, resolve
+from weft.plans.store import Scratch, Store
 from weft.sources import scan as source
 
 
@@ -21,59 +23,129 @@ class Index:
             return self.store.read(name)
         raise AttributeError(name)
 
-    def build(self, indexes: list[str] | None = None) -> dict[str, int]:
-        """Index all files anew, ids of known symbols kept; then take in precise indexes, if any. Returns counts."""
-        files = stored(source.indexed(source.scan(self.spark, self.root)), "files")
-        rows = stored(extraction.parsed(files), "parsed")
-        file, symbol, call = extraction.tables(files, rows)
-        file, symbol = stored(file, "file"), stored(symbol, "symbol")
-        symbol = maintain.keyed(symbol, file)
-        if self.store.version() is not None:
-            told = maintain.reconciled(self.store.read("symbol"), symbol).filter("action <> 'delete'").select("symbol_key", F.col("symbol_id").cast("long").alias("kept"))
-            symbol = symbol.join(told, "symbol_key").withColumn("symbol_id", F.col("kept")).drop("kept")
-        symbol = stored(symbol.withColumn("symbol_id", F.col("symbol_id").cast("long")), "symbol")
-        call = stored(call, "call")
-        occurrence, edge = resolve.occurrences(call, symbol), resolve.edges(call, symbol)
+    def derived(self, files: DataFrame, old: dict[str, DataFrame] | None, meta: dict[str, str], scratch: Scratch) -> tuple[dict[str, DataFrame], dict[str, str]]:
+        """(file, symbol, call, line of source files (path, ..., content), marks of the highest ids): known paths and symbols keep their ids."""
+        marks = {k: int(meta.get(k, 0)) for k in ("file_mark", "symbol_mark")}
+        known = old["file"] if old else self.spark.createDataFrame([], "path string, file_id long")
+        file = scratch.stored(maintain.numbered(files.drop("content", "language"), known, marks["file_mark"]).withColumn("tier", F.lit(0).cast("long")), "file")
+        rows = scratch.stored(extraction.parsed(files), "parsed")
+        symbol, call = extraction.tables(file, rows)
+        symbol = scratch.stored(maintain.keyed(scratch.stored(symbol, "symbol"), file), "keyed")
+        before = old["symbol"].join(file.select("file_id"), "file_id", "left_semi") if old else self.spark.createDataFrame([], "symbol_key string, symbol_id long")
+        told = maintain.reconciled(before, symbol, marks["symbol_mark"]).filter("action <> 'delete'").select("symbol_key", F.col("symbol_id").cast("long").alias("kept"))
+        symbol = scratch.stored(symbol.join(told, "symbol_key").withColumn("symbol_id", F.col("kept")).drop("kept"), "symbol")
         line = files.join(file.select("path", "file_id"), "path").select("file_id", F.posexplode(F.split("content", "\n", -1)).alias("p", "line")).select("file_id", (F.col("p") + 1).cast("long").alias("line_no"), "line")
-        meta = {"scanner_mode": "fs"}
-        if indexes:
-            docs = stored(precise.documents(source.precise_index(self.spark, indexes), file, self.root), "precise")
-            edge = precise.inserted(precise.superseded(precise.without_scip(edge), symbol, docs.select("file_id").distinct()), precise.scip_edges(docs, symbol))
-            c = precise.coverage(docs.select("file_id"), file).first()
-            meta |= {"scip_at": ", ".join(indexes), "scip_coverage": f"{c['covered']}/{c['total']} ({c['pct']}%)"}
-        self.store.write({"file": file, "symbol": symbol, "call": call, "line": line, "occurrence": occurrence, "edge": edge}, meta)
-        return {"files": file.count(), "symbols": symbol.count(), "edges": self.edge.count()}
+        for mark, df, name in (("file_mark", file, "file_id"), ("symbol_mark", symbol, "symbol_id")):
+            marks[mark] = max(marks[mark], df.agg(F.coalesce(F.max(name), F.lit(0)).alias("n")).first()["n"])
+        return {"file": file, "symbol": symbol, "call": scratch.stored(call, "call"), "line": line}, {k: str(v) for k, v in marks.items()}
+
+    def place(self) -> dict[str, str]:
+        """Metadata of where the files are now: the commit and the mode of the next reconcile."""
+        head = None if ":/" in self.root else source.git_head(self.root)
+        return {"scanner_mode": "git" if head else "fs", "indexed_commit": head or ""}
+
+    def dirty(self) -> DataFrame:
+        """Paths that differ from the commit now; the next reconcile by git looks at them again."""
+        if ":/" in self.root or not source.git_head(self.root):
+            return self.spark.createDataFrame([], "path string")
+        return maintain.git_status(source.git(self.spark, self.root)).select("path").distinct()
+
+    def build(self, indexes: list[str] | None = None) -> dict[str, int]:
+        """Index all files anew, ids of known files and symbols kept; then take in precise indexes, if any. Returns counts."""
+        with Scratch(self.spark) as scratch:
+            place, dirty = self.place(), scratch.stored(self.dirty(), "dirty")
+            names = source.named(self.spark, source.listed(self.root))
+            files = scratch.stored(source.indexed(source.contents(names, self.root), names), "files")
+            old, meta = ({n: self.store.read(n) for n in ("file", "symbol")}, self.store.meta()) if self.store.version() is not None else (None, {})
+            new, marks = self.derived(files, old, meta, scratch)
+            file, symbol, call = new["file"], new["symbol"], new["call"]
+            occurrence, edge = resolve.occurrences(call, symbol), resolve.edges(call, symbol)
+            covered, meta = self.spark.createDataFrame([], "file_id long"), {"scip_at": "", "scip_coverage": ""}
+            if indexes:
+                docs = scratch.stored(precise.documents(source.precise_index(self.spark, indexes), file, self.root), "precise")
+                covered = docs.select("file_id").distinct()
+                edge = precise.inserted(precise.superseded(precise.without_scip(edge), symbol, covered), precise.scip_edges(docs, symbol))
+                meta = {"scip_at": ", ".join(indexes), "scip_coverage": self.coverage_of(covered, file)}
+            tables = new | {"occurrence": occurrence, "edge": edge, "covered": covered, "manifest": source.manifest_dirs(names), "dirty": dirty}
+            self.store.write(tables, meta | marks | place)
+        return {"files": self.file.count(), "symbols": self.symbol.count(), "edges": self.edge.count()}
+
+    @staticmethod
+    def coverage_of(covered: DataFrame, file: DataFrame) -> str:
+        c = precise.coverage(covered, file).first()
+        return f"{c['covered']}/{c['total']} ({c['pct']}%)"
+
+    def candidates(self, old: DataFrame, meta: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+        """By git, (paths to look at with size and time, paths that are gone, folders of manifests); None where git can't tell.
+
+        Looked at are paths that differ between the commits, in the working tree now, or that did at the last time. A manifest
+        or a file of ignore rules among them may concern any path, so that the whole tree is listed instead.
+        """
+        since = meta.get("indexed_commit")
+        if not since or ":/" in self.root or not source.git_head(self.root):
+            return None
+        try:
+            told = maintain.git_changeset(maintain.git_status(source.git(self.spark, self.root, since)))
+        except subprocess.CalledProcessError:  # the commit is gone
+            return None
+        paths = sorted({r["path"] for r in told.select("path").union(self.store.read("dirty")).distinct().collect()})
+        if any(p.rsplit("/", 1)[-1] in source.IGNORE_FILES for p in paths):
+            return None
+        asked = self.spark.createDataFrame([(p,) for p in paths], "path string")
+        if not source.manifest_dirs(asked).isEmpty():
+            return None
+        found = source.listed(self.root, only=paths)
+        there = {x[0] for x in found}
+        gone = self.spark.createDataFrame([(p,) for p in paths if p not in there], "path string")
+        return source.named(self.spark, found), gone, self.store.read("manifest")
 
     def reconcile(self) -> dict[str, int]:
         """Bring the index in step with the files. Counts of added, changed, deleted and unchanged files.
 
-        The diff is by size and time, then hash. Anything but `unchanged` writes a new snapshot whose calls are resolved
-        as a whole, so edges from unchanged files to new symbols aren't missed; symbols keep their ids.
+        What to look at is told by git where the root is the checkout that was indexed, else by size and time of all files; only
+        those contents are read, and the hash decides. Only changed files are parsed again, and only calls in them or to a
+        name whose symbols came or went are resolved again; ids stay, no id is given twice, and precise edges of other files
+        stay. With nothing to do no snapshot is written.
         """
-        now = source.indexed(source.scan(self.spark, self.root))
-        counts = {r["change"]: r["n"] for r in maintain.fs_diff(self.file, now).groupBy("change").agg(F.count("*").alias("n")).collect()}
-        out = {k: counts.get(k, 0) for k in ("added", "changed", "deleted", "unchanged")}
-        if out["added"] or out["changed"] or out["deleted"]:
-            self.build()
+        with Scratch(self.spark) as scratch:
+            old, meta = {n: self.store.read(n) for n in ("file", "symbol", "call", "line", "occurrence", "edge", "covered")}, self.store.meta()
+            file, place, dirty = old["file"], self.place(), scratch.stored(self.dirty(), "dirty")
+            told = self.candidates(file, meta)
+            if told:
+                asked, gone, dirs = told
+                all_paths = file.select("path").union(asked.select("path")).distinct()
+            else:
+                names = scratch.stored(source.named(self.spark, source.listed(self.root)), "names")
+                same = file.select("path", "size", "mtime_ns")
+                asked, gone, dirs = names.join(same, ["path", "size", "mtime_ns"], "left_anti"), file.select("path").join(names, "path", "left_anti"), source.manifest_dirs(names)
+                all_paths = names.select("path")
+            files = scratch.stored(source.facts(source.contents(asked, self.root)), "files")
+            rest = file.join(asked.select("path"), "path", "left_anti").join(gone, "path", "left_anti")
+            state = ["path", "size", "mtime_ns", "content_hash"]
+            diff = scratch.stored(maintain.fs_diff(file, rest.select(state).unionByName(files.select(state))), "diff")
+            counts = {r["change"]: r["n"] for r in diff.groupBy("change").agg(F.count("*").alias("n")).collect()}
+            out = {k: counts.get(k, 0) for k in ("added", "changed", "deleted", "unchanged")}
+            unit = scratch.stored(source.units(all_paths, dirs), "units")
+            moved = file.join(unit.withColumnRenamed("index_unit", "now"), "path").filter("now <> index_unit")
+            if not (out["added"] or out["changed"] or out["deleted"]) and moved.isEmpty() and place["indexed_commit"] == meta.get("indexed_commit", ""):
+                return out
+            new_files = files.join(diff.filter("change in ('added', 'changed')"), "path", "left_semi").join(unit, "path")
+            touched = scratch.stored(file.join(diff.filter("change in ('changed', 'deleted')"), "path", "left_semi").select("file_id"), "touched")
+            new, marks = self.derived(scratch.stored(new_files, "new"), old, meta, scratch)
+            tables = incremental.applied(old, touched, new, scratch.stored)
+            touch = files.select("path", F.col("size").alias("s"), F.col("mtime_ns").alias("m"))  # touched without a change: not looked at next time
+            units = unit.withColumnRenamed("index_unit", "now")
+            tables["file"] = tables["file"].join(touch, "path", "left").join(units, "path", "left").withColumn("size", F.coalesce("s", "size")).withColumn("mtime_ns", F.coalesce("m", "mtime_ns")).withColumn("index_unit", F.coalesce("now", "index_unit")).select(file.columns)
+            if meta.get("scip_at"):
+                place["scip_coverage"] = self.coverage_of(tables["covered"], tables["file"])
+            self.store.write(tables | {"manifest": dirs, "dirty": dirty}, marks | place)
         return out
 
     def watch(self, checkpoint: str, interval: str = "500 milliseconds"):
-        """A streaming query that reconciles whenever files arrive under root. Stop it with .stop().
-
-        The stream only tells that something came; the batch reconcile finds out what, deletions too. Paths of version
-        control alone start nothing. A failing batch is told and the watch goes on.
-        """
-        files = self.spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(self.root).select(F.col("_metadata.file_path").alias("path"))
-
-        def batch(df: DataFrame, _: int) -> None:
-            if df.filter(~F.col("path").rlike(r"/(\.git|target)/")).isEmpty():
-                return
-            try:
-                self.reconcile()
-            except Exception as e:  # noqa: BLE001  the watch outlives a bad batch
-                print(f"reconcile failed: {e}")
+        """A streaming query that reconciles whenever files come, change or go under root. Stop it with .stop()."""
+        from weft.streaming.watch import watched
 
-        return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+        return watched(self, checkpoint, interval)
 
     # --- the menu ---------------------------------------------------------------------------------------------------
 
@@ -148,7 +220,7 @@ class Index:
 
     def lsp(self, confirmed: DataFrame) -> int:
         """Take in calls (src, dst) that a language server confirmed; returns the new version."""
-        tables = {n: self.store.read(n) for n in ("file", "symbol", "call", "line", "occurrence")}
+        tables = {n: self.store.read(n) for n in ("file", "symbol", "call", "line", "occurrence", "covered", "manifest", "dirty")}
         return self.store.write(tables | {"edge": precise.lsp_upserted(self.edge, confirmed)})
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weft import model
 from weft.extract import extract, extract_calls
-from weft.operators.ids import dense_ids
+from weft.operators.ids import dense_ids, ranged
 
 SCHEMA = "path string, what string, ordinal long, name string, name_path string, kind long, start_line long, start_col long, end_line long, end_col long, sel_line long, sel_col long"
 ARROW = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in SCHEMA.split(", "))])
@@ -30,10 +30,9 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "content").mapInArrow(parse, SCHEMA)
 
 
-def tables(files: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(file, symbol, call) tables with ids, from source files and their parsed rows."""
-    file = dense_ids(files.drop("content"), "file_id", F.substring("path", 1, 3), F.col("path")).withColumn("tier", F.lit(0).cast("long"))
+def tables(file: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(symbol, call) of files (file_id, path) from their parsed rows. symbol_id is a first number, in order of path and place."""
     held = rows.join(file.select("path", "file_id"), "path")
-    symbol = dense_ids(held.filter("what = 'symbol'").drop("what"), "symbol_id", F.substring("path", 1, 3), F.col("path"), F.col("ordinal"))
+    symbol = dense_ids(held.filter("what = 'symbol'").drop("what"), "symbol_id", ranged(file, "path"), F.col("path"), F.col("ordinal"))
     call = held.filter("what = 'call'").select("file_id", F.col("start_line").alias("line_no"), "name").distinct()
-    return file, symbol.drop("path", "ordinal"), call
+    return symbol.drop("path", "ordinal").withColumn("symbol_id", F.col("symbol_id").cast("long")), call

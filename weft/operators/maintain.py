@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.operators.ids import dense_ids
+from weft.operators.ids import dense_ids, ranged
 
 
 def symbol_key(path: Column, name_path: Column, kind: Column, nth: Column) -> Column:
@@ -20,13 +20,14 @@ def keyed(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return named.withColumn("symbol_key", symbol_key(F.col("path"), F.col("name_path"), F.col("kind"), F.col("nth"))).drop("path")
 
 
-def reconciled(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(symbol_key, action, symbol_id): kept symbols keep their id, inserted ones get ids above all that ever were, the rest are deleted.
+def reconciled(old: DataFrame, new: DataFrame, mark: int = 0) -> DataFrame:
+    """(symbol_key, action, symbol_id): kept symbols keep their id, inserted ones get new ids, the rest are deleted.
 
-    old: symbol_key, symbol_id; new: symbol_key.
+    old: symbol_key, symbol_id; new: symbol_key. New ids lie above those of old and above mark, the highest id ever given
+    (a snapshot's metadata has it), so no id is used twice.
     """
     top = F.coalesce(F.max("symbol_id"), F.lit(0))
-    high = old.agg(top.alias("top")).first()["top"]
+    high = max(mark, old.agg(top.alias("top")).first()["top"])
     both = old.select("symbol_key", "symbol_id").join(new.select("symbol_key", F.lit(True).alias("now")), "symbol_key", "full_outer")
     action = F.when(F.col("symbol_id").isNull(), "insert").when(F.col("now").isNull(), "delete").otherwise("keep")
     told = both.select("symbol_key", action.alias("action"), "symbol_id")
@@ -34,6 +35,14 @@ def reconciled(old: DataFrame, new: DataFrame) -> DataFrame:
     return told.filter("action <> 'insert'").unionByName(added.select("symbol_key", "action", (F.col("n") + high).alias("symbol_id")))
 
 
+def numbered(new: DataFrame, old: DataFrame, mark: int = 0) -> DataFrame:
+    """new (path, ...) with file_id: that of old (path, file_id) where the path is known, else one above old's and above mark."""
+    high = max(mark, old.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("top")).first()["top"])
+    fresh = new.select("path").join(old.select("path"), "path", "left_anti")
+    ids = dense_ids(fresh, "n", ranged(fresh, "path"), F.col("path")).select("path", (F.col("n") + high).cast("long").alias("file_id"))
+    return new.join(ids.unionByName(old.select("path", F.col("file_id").cast("long").alias("file_id"))), "path")
+
+
 def fs_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, change): added, changed, deleted or unchanged between two scans (path, size, mtime_ns, content_hash).
 
@@ -95,7 +104,7 @@ def strings(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def interned(texts: DataFrame) -> DataFrame:
     """(id, text): dense ids in order of the text."""
-    return dense_ids(texts, "id", F.substring("text", 1, 2), F.col("text")).select("id", "text")
+    return dense_ids(texts, "id", ranged(texts, "text"), F.col("text")).select("id", "text")
 
 
 def orphans(pool: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -55,26 +55,45 @@ class Rules:
 
 
 SCANNED = "path string, content binary, size long, mtime_ns long"
+NAMES = "path string, size long, mtime_ns long"
 
 
-def scan(spark: SparkSession, root: str, hidden: bool = False, most: int = model.MAX_FILE) -> DataFrame:
-    """Files (path, content, size, mtime_ns) under a folder, without ignored ones and those of over `most` bytes.
+def opened(root: str):
+    """(file system, folder) of a path or URI."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), os.path.abspath(root))
+    return store, base.rstrip("/")
 
-    Names are listed on the driver (Spark's own file index leaves out names that begin with a dot or an underscore);
-    contents are read by the executors, from a folder or store that all of them reach. Hidden names are left out unless
-    wanted, `.git` always; files that can't be read are passed over.
+
+def listed(root: str, hidden: bool = False, most: int = model.MAX_FILE, only: list[str] | None = None) -> list[tuple[str, int, int]]:
+    """(path, size, mtime_ns) of the files under a folder, or of those named in `only`, without ignored ones and those of over `most` bytes.
+
+    Names are listed on the driver: Spark's own file index leaves out names that begin with a dot or an underscore. Hidden
+    names are left out unless wanted, `.git` always. For `only`, rules are read from the folders above the names alone.
     """
     from pyarrow import fs
 
-    store, base = fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), os.path.abspath(root))
-    base = base.rstrip("/")
-    listed = [(x.path[len(base) + 1 :], x.size, x.mtime_ns) for x in store.get_file_info(fs.FileSelector(base, recursive=True)) if x.type == fs.FileType.File]
-    listed = [x for x in listed if ".git" not in x[0].split("/")]
-    rules = Rules({p: store.open_input_stream(f"{base}/{p}").read().decode("utf-8", "replace") for p, _, _ in listed if p.rsplit("/", 1)[-1] in IGNORE_FILES})
-    kept = [x for x in listed if x[1] <= most and (hidden or not re.search(r"(^|/)\.", x[0])) and not rules.ignored(x[0])]
+    store, base = opened(root)
+    if only is None:
+        found = store.get_file_info(fs.FileSelector(base, recursive=True))
+        rulers = [x.path for x in found if x.path.rsplit("/", 1)[-1] in IGNORE_FILES]
+    else:
+        above = {"/".join(p.split("/")[:k]) for p in only for k in range(p.count("/") + 1)}
+        asked = [f"{base}/{d}/{n}".replace("//", "/") for d in above for n in IGNORE_FILES]
+        rulers = [x.path for x in (store.get_file_info(asked) if asked else []) if x.type == fs.FileType.File]
+        found = store.get_file_info([f"{base}/{p}" for p in only]) if only else []
+    names = [(x.path[len(base) + 1 :], x.size, x.mtime_ns) for x in found if x.type == fs.FileType.File]
+    names = [x for x in names if ".git" not in x[0].split("/")]
+    rules = Rules({p[len(base) + 1 :]: store.open_input_stream(p).read().decode("utf-8", "replace") for p in rulers if "/.git/" not in p})
+    return [x for x in names if x[1] <= most and (hidden or not re.search(r"(^|/)\.", x[0])) and not rules.ignored(x[0])]
+
+
+def contents(names: DataFrame, root: str) -> DataFrame:
+    """Names (path, size, mtime_ns) with their contents, read by the executors; files that can't be read are passed over."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = fs.FileSystem.from_uri(root)[0] if ":/" in root else fs.LocalFileSystem()
+        at, base = opened(root)
         for b in batches:
             for path, size, mtime in zip(*(b.column(i).to_pylist() for i in range(3))):
                 try:
@@ -84,24 +103,48 @@ def scan(spark: SparkSession, root: str, hidden: bool = False, most: int = model
                     continue
                 yield pa.RecordBatch.from_pydict({"path": [path], "content": [content], "size": [size], "mtime_ns": [mtime]}, pa.schema([("path", pa.string()), ("content", pa.binary()), ("size", pa.int64()), ("mtime_ns", pa.int64())]))
 
-    names = spark.createDataFrame(kept, "path string, size long, mtime_ns long").repartition(max(1, min(1000, len(kept) // 64)))
-    return names.mapInArrow(read, SCANNED)
+    return names.select("path", "size", "mtime_ns").mapInArrow(read, SCANNED)
+
+
+def named(spark: SparkSession, names: list[tuple[str, int, int]]) -> DataFrame:
+    return spark.createDataFrame(names, NAMES).repartition(max(1, min(1000, len(names) // 64)))
+
+
+def scan(spark: SparkSession, root: str, hidden: bool = False, most: int = model.MAX_FILE) -> DataFrame:
+    """Files (path, content, size, mtime_ns) under a folder that all executors reach; see `listed` for which."""
+    return contents(named(spark, listed(root, hidden, most)), root)
+
 
+def manifest_dirs(names: DataFrame) -> DataFrame:
+    """Folders (dir) that hold a build manifest."""
+    return names.filter(manifest_kind(F.col("path")).isNotNull()).select(dirname(F.col("path")).alias("dir")).distinct()
 
-def indexed(files: DataFrame) -> DataFrame:
-    """Source files (path, content, size, mtime_ns, lang, content_hash, line_count, index_unit) of a scan.
 
-    Files of an unknown language, of over 2 MiB and with a NUL near their start are left out; the build unit is the
-    nearest folder above with a manifest.
+def units(names: DataFrame, dirs: DataFrame) -> DataFrame:
+    """(path, index_unit): the nearest folder above each path that is a manifest's, `.` if none."""
+    parts = F.split(dirname(F.col("path")), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    found = names.select("path", F.explode(above).alias("dir")).join(dirs, "dir").groupBy("path").agg(F.max_by("dir", F.length("dir")).alias("index_unit"))
+    return names.select("path").join(found, "path", "left").select("path", F.coalesce("index_unit", F.lit(".")).alias("index_unit"))
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """Source files (path, content, size, mtime_ns, lang, language, content_hash, line_count) of a scan; contents are read once.
+
+    Files of an unknown language, of over 2 MiB and with a NUL near their start are left out.
     """
-    roots = files.filter(manifest_kind(F.col("path")).isNotNull()).select(dirname(F.col("path")).alias("dir")).distinct()
     some = files.withColumn("language", detect_lang(F.col("path"))).filter(F.col("language").isNotNull() & indexable(F.col("content")))
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    facts = some.select("path", text.alias("content"), "size", "mtime_ns", model.code_of(F.col("language"), model.LANGUAGES).alias("lang"), "language", F.sha2("content", 256).alias("content_hash"), F.size(F.split(text, "\n", -1)).cast("long").alias("line_count"))
-    parts = F.split(dirname(F.col("path")), "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    units = some.select("path", F.explode(above).alias("dir")).join(roots, "dir").groupBy("path").agg(F.max_by("dir", F.length("dir")).alias("index_unit"))
-    return facts.join(units, "path", "left").withColumn("index_unit", F.coalesce("index_unit", F.lit(".")))
+    return some.select("path", text.alias("content"), "size", "mtime_ns", model.code_of(F.col("language"), model.LANGUAGES).alias("lang"), "language", F.sha2("content", 256).alias("content_hash"), F.size(F.split(text, "\n", -1)).cast("long").alias("line_count"))
+
+
+def indexed(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Source files of a scan (see `facts`) with index_unit, the nearest folder above with a manifest.
+
+    names: all paths of the scan, so that manifests and units are found without reading contents again.
+    """
+    names = files.select("path") if names is None else names.select("path")
+    return facts(files).join(units(names, manifest_dirs(names)), "path")
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
@@ -171,8 +214,20 @@ def precise_index(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(decode, "project_root string, relative_path string, ordinal long, symbol string, line0 long, roles long")
 
 
+def git_output(root: str, *args: str) -> list[str]:
+    return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=True).stdout.splitlines()
+
+
+def git_head(root: str) -> str | None:
+    """The commit that a local checkout is at; None where root isn't the top of one."""
+    try:
+        top = git_output(root, "rev-parse", "--show-toplevel", "HEAD")
+    except (subprocess.CalledProcessError, OSError):
+        return None
+    return top[1] if len(top) == 2 and os.path.realpath(top[0]) == os.path.realpath(root) else None
+
+
 def git(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
     """(source, line) of git's reports on a local checkout: committed changes since a commit, and the working tree."""
-    run = lambda *a: subprocess.run(["git", "-C", root, *a], capture_output=True, text=True, check=True).stdout.splitlines()
-    rows = [("diff", x) for x in (run("diff", "--name-status", since, "HEAD") if since else [])] + [("status", x) for x in run("status", "--porcelain", "--untracked-files=all")]
+    rows = [("diff", x) for x in (git_output(root, "diff", "--name-status", since, "HEAD") if since else [])] + [("status", x) for x in git_output(root, "status", "--porcelain", "--untracked-files=all")]
     return spark.createDataFrame(rows, "source string, line string")

@@ -1 +1 @@
-"""Streaming: Index.watch in weft.engine reconciles an index as files arrive."""
+"""Structured Streaming: watching a tree of files."""
