@@ -1,9 +1,12 @@
-"""Scalar functions over paths, names and file contents, all in the JVM."""
+"""Scalar functions over paths, names and file contents, in the JVM but for running sums."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft import model
 
@@ -51,11 +54,11 @@ def indexable(content: Column) -> Column:
     return (F.octet_length(content) <= model.MAX_FILE) & ~F.contains(F.substring(content, 1, model.PROBE), F.lit(bytes(1)))
 
 
-def line_offsets(text: Column) -> Column:
-    """Byte offset of each line: 0 and the place after each newline."""
-    sizes = F.transform(F.split(text, "\n", -1), lambda x: F.octet_length(x).cast("long") + 1)
-    before = F.aggregate(F.slice(sizes, 1, F.size(sizes) - 1), F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    return before
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def line_offsets(texts: pa.Array) -> pa.Array:
+    """Byte offset of each line: 0 and the place after each newline. (A running sum in Spark's own functions copies the array for every line.)"""
+    found = [None if t is None else np.r_[0, np.flatnonzero(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) == 10) + 1] for t in texts.to_pylist()]
+    return pa.array(found, pa.list_(pa.int64()))
 
 
 def deltas(offsets: Column) -> Column:
@@ -63,8 +66,10 @@ def deltas(offsets: Column) -> Column:
     return F.zip_with(offsets, F.concat(F.array(F.lit(0).cast("long")), F.slice(offsets, 1, F.size(offsets) - 1)), lambda a, b: a - b)
 
 
-def undeltas(d: Column) -> Column:
-    return F.slice(F.aggregate(d, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))), 2, F.size(d))
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def undeltas(d: pa.Array) -> pa.Array:
+    """Running sums of each array."""
+    return pa.array([None if x is None else np.cumsum(x, dtype=np.int64) for x in d.to_pylist()], pa.list_(pa.int64()))
 
 
 def byte_span(offsets: Column, size: Column, start: Column, end: Column) -> tuple[Column, Column]:
