@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ DEFINITION = 1
 def full_path(project_root: Column, relative: Column, root: str = "") -> Column:
     """A document's path in the repository: the unit's root, relative to the repository, and its own path."""
     unit = F.regexp_replace(F.regexp_replace(project_root, "^file://", ""), "/+$", "")
-    top = root.rstrip("/")
+    top = re.sub(r"^file:/+", "/", root).rstrip("/")
     prefix = F.when(unit == top, F.lit("")).when(unit.startswith(f"{top}/"), F.substring(unit, len(top) + 2, 1 << 20)).otherwise(F.lit(""))
     return F.when(prefix == "", relative).otherwise(F.concat_ws("/", prefix, relative))
 

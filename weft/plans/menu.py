@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weft import model
 from weft.functions import text
 from weft.operators import extraction, graph, maintain, precise, project, query, resolve
-from weft.plans import cases
+from weft.plans import cases, trees
 from weft.sources import fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -565,6 +565,10 @@ for _language in cases.SOURCES:
     ORACLES[f"extract_{_language}"] = extracted_sql(_language)
 
 
+QUERIES |= trees.QUERIES
+ORACLES |= trees.ORACLES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {("resolve" if k == "resolve_names" else k): v for k, v in QUERIES.items()}
 
