@@ -114,6 +114,36 @@ def test_shingles_decide_near_copies(spark):
     assert kept == {i for i, _ in rows} | {1000 + i for i, _ in rows if i % 2 == 0}
 
 
+def test_near_copies_equal_brute_force(spark):
+    """A passage that all texts share, chains of edits, lengths from 1 word up: the groups are those of all pairs."""
+    rng = random.Random(16)
+    passage = prose(rng, 60)
+    texts = [passage + " " + prose(rng, rng.randrange(5, 40)) for _ in range(70)] + [prose(rng, rng.randrange(1, 60)) for _ in range(30)]
+    for _ in range(60):  # each an edit of any before it, so groups are chains
+        w = rng.choice(texts).split()
+        at = rng.randrange(len(w))
+        texts.append(" ".join(w[:at] + prose(rng, rng.randrange(1, 4)).split() + w[at + rng.randrange(3) :]))
+    texts += [texts[3], "", " ", None]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    linked = 0
+    for i, a in enumerate(grams):
+        for j in range(i):
+            if not a and not grams[j] or a and len(a & grams[j]) >= 0.8 * len(a | grams[j]):
+                linked += 1
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    assert linked > 40
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == {top(i) for i in range(len(texts))}
+
+
 def test_fingerprints(docs, empty):
     got = fingerprints.fingerprinted(docs)
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

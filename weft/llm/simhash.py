@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,6 +176,11 @@ def shingle_sets(texts: pa.Array) -> pa.Array:
     return pa.array([hashes_of(t.as_py() or "").tobytes() for t in texts], pa.binary())
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def members(sets: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(x.as_py(), np.int64) for x in sets], pa.list_(pa.int64()))
+
+
 def alike(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two shingle sets; 1 for two empty ones."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -188,17 +193,40 @@ def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([alike(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.float64())
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) of digests whose shingle sets reach the similarity; only texts of pairs are read."""
+def sets_of(classes: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """(cls, own) of some digests (cls): the shingle set of the text; only texts of these are cut again."""
     key = F.coalesce("doc_id", F.lit(-1)).alias("key")
     # one row stands for all copies of a text
-    need = facts.join(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("key"))
+    need = facts.join(classes.distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("key"))
     texts = docs.select(key, digest().alias("cls"), "text").join(need, ["key", "cls"], "left_semi").dropDuplicates(["cls"])
-    sets = stored(texts.select("cls", shingle_sets("text").alias("own")), "sets")
+    return stored(texts.select("cls", shingle_sets("text").alias("own")), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of digests whose shingle sets (cls, own) reach the similarity."""
     both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("cls").alias("v"), F.col("own").alias("y")), "v")
     return both.filter(jaccard("x", "y") >= similarity).select("u", "v")
 
 
+def sharing_rare(sets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """(u, v), u and v in different parts (cls, c), that share one of their rarest shingles: every pair at the similarity does.
+
+    Of n shingles a partner has at least ceil(similarity * n), so it has one of any n - ceil(similarity * n) + 1. With those
+    that the fewest sets have, what very many texts share (a passage, a notice) brings no pair about.
+    """
+    n = F.octet_length("own") / 8
+    each = sets.select("cls", n.alias("n"), F.explode(members("own")).alias("h"))
+    common = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    known = each.join(common, "h")
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "h"))
+    ranked = known.select("cls", "n", "h", rank.alias("rank"), F.count("*").over(Window.partitionBy("cls")).alias("m"))
+    # shingles of one set alone are the rarest of all, and come first
+    rare = ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.col("m")))
+    rare = stored(rare.join(parts, "cls").select("cls", "c", "n", "h"), "rare")
+    a, b = (rare.select(F.col("cls").alias(x), F.col("c").alias("c" + x), F.col("n").alias("n" + x), "h") for x in "uv")
+    return a.join(b, "h").filter((F.col("cu") < F.col("cv")) & (F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity - 1e-9)).select("u", "v").distinct()
+
+
 def apart(x: str, y: str) -> Column:
     """Differing bits of two wide fingerprints."""
     return sum((F.bit_count(F.element_at(x, i + 1).bitwiseXOR(F.element_at(y, i + 1))) for i in range(LANES)), F.lit(0))
@@ -208,9 +236,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, cls, root) of every distinct pair of id and text: cls is a digest of the text, root its group's.
 
     Exact copies are one vertex, so a text's copies are never paired. Nor are all pairs of a large group of near copies
-    given out: members are first linked to the ends of their buckets, and only pairs whose members that leaves apart are
-    looked at further. No link between different components is lost. Null texts are empty; all texts without words
-    are copies.
+    given out: each member is first compared with two members of its buckets, and where that leaves a bucket in several
+    components, all pairs across components that share a rare shingle are looked at, so no link between different
+    components is lost. Null texts are empty; all texts without words are copies.
     """
     facts = stored(docs.select("doc_id", digest().alias("cls"), wides("text").alias("w")).select("doc_id", "cls", "w.*"), "wide")
     ids = facts.select("doc_id", "cls").distinct()
@@ -218,20 +246,22 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     rows = one.select("cls", F.posexplode("blocks").alias("t", "key"))
     buckets = rows.groupBy("t", "key").agg(F.min("cls").alias("first"), F.max("cls").alias("last"))
     held = stored(rows.join(buckets.filter("first <> last"), ["t", "key"]), "blocks")
-    fps = one.select("cls", "fp")
     radius = radius_of(similarity, 64 * LANES)
-    # each member against the first and the last of its buckets
-    ends = held.select(F.col("cls").alias("u"), F.explode(F.array("first", "last")).alias("v")).filter("u <> v").distinct()
-    near = ends.join(fps.select(F.col("cls").alias("u"), F.col("fp").alias("x")), "u").join(fps.select(F.col("cls").alias("v"), F.col("fp").alias("y")), "v").filter(apart("x", "y") <= radius)
-    near = stored(confirmed(stored(near.select("u", "v"), "candidates"), docs, facts, similarity), "near")
-    # then, in buckets where that left several components, members of different ones against each other
+
+    def close(pairs: DataFrame) -> DataFrame:
+        x, y = (one.select(F.col("cls").alias(c), F.col("fp").alias(f)) for c, f in (("u", "x"), ("v", "y")))
+        return stored(pairs.join(x, "u").join(y, "v").filter(apart("x", "y") <= radius).select("u", "v"), "candidates")
+
+    # the least and the greatest of the first members of its buckets, for each member
+    heads = held.groupBy("cls").agg(F.min("first").alias("a"), F.max("first").alias("b"))
+    some = close(heads.select(F.col("cls").alias("u"), F.explode(F.array("a", "b")).alias("v")).filter("u <> v").distinct())
+    near = stored(confirmed(some, sets_of(some.select(F.explode(F.array("u", "v")).alias("cls")), docs, facts), similarity), "near")
+    # then, in buckets where that left several components, members of different ones
     part = held.select("t", "key", "cls").join(components(near).withColumnRenamed("u", "cls"), "cls", "left").select("t", "key", "cls", F.coalesce("m", "cls").alias("c"))
     split = part.groupBy("t", "key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("t", "key")
-    rest = stored(part.join(split, ["t", "key"]).join(fps, "cls"), "rest")
-    a = rest.select("t", "key", F.col("cls").alias("u"), F.col("c").alias("cu"), F.col("fp").alias("x"))
-    b = rest.select("t", "key", F.col("cls").alias("v"), F.col("c").alias("cv"), F.col("fp").alias("y"))
-    across = a.join(b, ["t", "key"]).filter((F.col("cu") < F.col("cv")) & (apart("x", "y") <= radius)).select("u", "v").distinct()
-    across = confirmed(stored(across, "candidates"), docs, facts, similarity)
+    rest = stored(part.join(split, ["t", "key"]).select("cls", "c").distinct(), "rest")
+    sets = sets_of(rest.select("cls"), docs, facts)
+    across = confirmed(close(sharing_rare(sets, rest, similarity)), sets, similarity)
     to = components(near.unionByName(across)).withColumnRenamed("u", "cls")
     return ids.join(to, "cls", "left").select("doc_id", "cls", F.coalesce("m", "cls").alias("root"))
 
