@@ -248,6 +248,35 @@ def test_items_beyond_the_dimensions_are_found(spark, monkeypatch):
     assert got == {(60, 99)}
 
 
+def test_finds_equal_brute_force(spark):
+    """Every window of every text against every item by the longest common subsequence alone."""
+    rng = random.Random(24)
+    items = [(i, ". ".join(prose(rng, rng.randrange(5, 22)).capitalize() for _ in range(2)) + ".") for i in range(25)]
+    docs = []
+    for i in range(120):
+        text = prose(rng, rng.randrange(1, 150)).split()
+        for _ in range(rng.randrange(3)):
+            w = rng.choice(items)[1].split()
+            kept = [x if rng.random() < (0.55, 0.8, 1.0)[i % 3] or k > len(w) - 8 else prose(rng, 1) for k, x in enumerate(w)]
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = kept
+        docs.append((i, " ".join(text)))
+    want = {}
+    for d, text in docs:
+        words = decontamination.words_of(text)
+        for i, t in items:
+            own, answer = decontamination.words_of(t), decontamination.answer_of(t)
+            n = decontamination.window_of(len(own))
+            for b in range(0, max(1, len(words) // 16 + 1 - n // 16 + 1) * 16, 16):
+                near = words[max(0, b - 16) : b + n + 16]
+                share = decontamination.lcs(own, near) / len(own)
+                if share >= 0.8 or share >= 0.5 and decontamination.lcs(answer, near) >= 0.8 * len(answer):
+                    want[d, i] = max(share, want.get((d, i), 0))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["share"] for r in decontamination.contaminated(df, bench).collect()}
+    assert len(want) > 40 and any(s < 0.7 for s in want.values()) and got == want
+
+
 def test_short_items_are_found_by_their_words(spark):
     docs = [(1, "We ask: who wrote Hamlet, and when?"), (2, "who ever wrote Hamlet"), (3, "Who wrote Hamlet"), (4, "hamlet"), (5, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")

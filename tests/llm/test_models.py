@@ -74,3 +74,45 @@ def test_quality_of_odd_rows(spark, docs, empty):
     assert quality.scored(docs, labels).count() == docs.count() and quality.scored(empty, labels).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.scored(docs, none).collect()} == {0.5}
+
+
+def test_statistics_equal_a_plain_computation(spark, docs):
+    import re
+    import unicodedata
+
+    def plain(t):
+        n, words, lines = max(len(t), 1), re.split("[ \n]", t), t.split("\n")
+        return [
+            len(t), n / len(words), sum(unicodedata.category(c) == "Lu" for c in t) / n, sum("0" <= c <= "9" for c in t) / n, sum(c in "#$%&*|!<>{}=+~^@/\\" for c in t) / n, t.count("!") / n, t.count("|") / n,
+            t.count(".") / len(words), t.count(",") / len(words), (len(t.encode()) - len(t)) / n, len(set(words)) / len(words), len(set(lines)) / len(lines), n / len(lines),
+        ]
+
+    more = spark.createDataFrame([("Ünder|Lined!! 12#3.\n\nTwo, two, two. {a}\\b",), ("\n",), (" a  b ",)], "text string")
+    text = quality.text_of()
+    for r in docs.select("text").union(more).select(text.alias("t"), *quality.statistics(text).values()).collect():
+        assert np.allclose(r[1:], plain(r[0])), r[0][:50]
+
+
+def test_scores_equal_a_plain_computation():
+    """Words one by one, with the word-first backoff written out."""
+    import math
+
+    rng = random.Random(23)
+    counts = {lang: language.Counter(prose(rng, 300, letters).split()) for lang, letters in LETTERS.items()}
+    model, own = language.Backoff(counts, 100, 200), {}
+    scorer = language.Scorer(model)
+    texts = [prose(rng, n, LETTERS[rng.choice(sorted(LETTERS))] + "ab") for n in (1, 3, 50, 500)] + ["", "²" * 9 + " 12", "x²there"]
+    for text, (lang, score) in zip(texts, scorer.predict(texts)):
+        words = language.words_of(text)
+        if not words:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        total = np.zeros(3)
+        for w in words:
+            rows = [model.rows[model.known[w]]] if w in model.known else next((f for n, t in zip(language.LENGTHS, model.grams) if (f := [model.rows[t[g]] for g in language.grams_of(w, n) if g in t])), [np.zeros(3)])
+            v = np.mean(np.array(rows, float), 0)
+            v = v - math.log(sum(math.exp(x) for x in v))
+            total += np.maximum(v, language.FLOOR)
+        p = np.exp((total - total.max()) * language.WORTH / (len(words) + language.WORTH))
+        assert lang == sorted(LETTERS)[int(total.argmax())] and abs(score - 1 / p.sum()) < 1e-4
+    assert all(sc == (language.UNDETERMINED, 0.0) for sc in scorer.predict(["² " * 8, "² " * 9, "¼" * 400]))
