@@ -64,3 +64,20 @@ def batches(values, most: int = 1_000_000):
             held, n = [], 0
     if held:
         yield held
+
+
+#: UTF-8 bytes of ASCII and of the letters from U+00C0 to U+00FF.
+PLAIN = bytes([*range(0x80), *range(0x80, 0xC0), 0xC3])
+
+
+def separators(kept: str) -> bytes:
+    """A table for bytes.translate: ASCII characters other than letters and those kept become spaces."""
+    return bytes(b if b >= 0x80 or chr(b).isalpha() or chr(b) in kept else 0x20 for b in range(256))
+
+
+def plain_words(text: str, table: bytes) -> list[str] | None:
+    """Runs of letters, and of what the table keeps, in a text of ASCII and letters up to U+00FF; None for other texts."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if len(raw) > len(text) and (raw.translate(None, PLAIN) or b"\xc3\x97" in raw or b"\xc3\xb7" in raw):  # two signs stand among the letters
+        return None
+    return raw.translate(table).decode().split()

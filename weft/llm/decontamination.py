@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import batches
+from weft.llm.common import batches, plain_words, separators
 
-WORD = re.compile(r"[^\W_]+")
+WORD, SPACED = re.compile(r"[^\W_]+"), separators("0123456789")
 STEP = 16
 COSINE, COPY, PARAPHRASE, ANSWER = 0.4, 0.8, 0.5, 0.8
 #: Windows looked at together.
@@ -39,7 +39,10 @@ COUNTED = 10
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters and digits, lower case."""
+    low = text.lower()
+    found = plain_words(low, SPACED)
+    return WORD.findall(low) if found is None else found
 
 
 def answer_of(text: str) -> list[str]:
@@ -110,6 +113,7 @@ class Searcher:
                 for m in self.masks[:n]:
                     m[k, t >> 3] |= 1 << (t & 7)
         self.masks = [m.view(np.uint64) for m in self.masks]
+        self.again = np.array([len(ws) - len(set(ws)) for ws in self.words])
         self.groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for w in {window_of(len(x)) for x in self.words}:
             at = np.array([k for k, x in enumerate(self.words) if window_of(len(x)) == w])
@@ -122,10 +126,13 @@ class Searcher:
         weighty = self.heavy[ids]
         if not weighty.any():
             return {}
-        block = at[weighty]
+        block, heavy = at[weighty], ids[weighty]
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        nth = np.arange(len(block)) - np.repeat(starts, np.diff(np.r_[starts, len(block)]))
         total = np.zeros((words.end[-1] + 1, self.vectors.shape[1]))
-        total[block[starts] + 1] = np.add.reduceat(self.vectors[ids[weighty]], starts, axis=0)
+        for k in range(nth.max() + 1):  # the k-th word of every block at once
+            own = np.flatnonzero(nth == k)
+            total[block[own] + 1] += self.vectors[heavy[own]]
         np.cumsum(total, axis=0, out=total)
         best: dict[tuple[int, int], tuple[float, float, int]] = {}
         for w, (items, latent, least) in self.groups.items():
@@ -164,16 +171,19 @@ class Searcher:
         here = np.zeros((hi - lo, self.masks[0].shape[1] * 64), bool)
         here[at[own] - lo, ids[own]] = True
         bits = np.packbits(here, axis=1, bitorder="little").view(np.uint64)
-        there = np.zeros((len(hit), bits.shape[1]), np.uint64)
-        for d in range((right - left).max()):
-            inside = left[hit] + d < right[hit]
-            there[inside] |= bits[left[hit][inside] + d - lo]
-        out = np.empty(len(rows), bool)
+        begin, last = left[hit] - lo, right[hit] - lo - 1
+        there = bits[begin]
+        for d in range(1, (last - begin).max() + 1):
+            there |= bits[np.minimum(begin + d, last)]
+        out = np.zeros(len(rows), bool)
         for k in range(0, len(rows), 8192):
             part = slice(k, k + 8192)
-            has = there[place[part]]
-            n = sum(np.bitwise_count(has & m[items[part]]).sum(1, dtype=np.int32) for m in self.masks)
-            out[part] = n >= least[part]
+            n = np.bitwise_count(there[place[part]] & self.masks[0][items[part]]).sum(1, dtype=np.int32)
+            some = np.flatnonzero(n + self.again[items[part]] >= least[part])  # others lack too many different words
+            has = there[place[part][some]]
+            for m in self.masks[1:]:
+                n[some] += np.bitwise_count(has & m[items[part][some]]).sum(1, dtype=np.int32)
+            out[k + some] = n[some] >= least[part][some]
         return out
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import batches, remainder, stored
+from weft.llm.common import batches, plain_words, remainder, separators, stored
 
 UNDETERMINED = "und"
 LENGTHS = (5, 4, 3, 2, 1)
@@ -31,7 +31,7 @@ FLOOR = -6.0
 TABLE = 200_000
 #: A text's words aren't independent: n of them count as n * WORTH / (n + WORTH).
 WORTH = 200
-WORD = re.compile(r"[^\W\d_]+")
+WORD, SPACED = re.compile(r"[^\W\d_]+"), separators("")
 
 
 def letters_of(run: str) -> list[str]:
@@ -41,9 +41,10 @@ def letters_of(run: str) -> list[str]:
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower case."""
-    found = WORD.findall(text.lower())
-    if text.isascii():
+    low = text.lower()
+    if (found := plain_words(low, SPACED)) is not None:
         return found
+    found = WORD.findall(low)
     mixed = {w: letters_of(w) for w in set(found) if not w.isalpha()}
     return [x for w in found for x in mixed.get(w, (w,))] if mixed else found
 
