@@ -213,6 +213,12 @@ def test_precise_index(spark, tmp_path):
     ids = {n: i for i, n in name.items()}
     ix.lsp(spark.createDataFrame([(ids["callee2"], ids["callee"]), (ids["caller"], ids["callee"]), (1, 1)], "src long, dst long"))
     assert {(name[r["src"]], r["provenance"]) for r in ix.edge.collect()} == {("caller", 3), ("callee2", 3)}
+    ix.lsp(spark.createDataFrame([(ids["callee2"], "u/a.rs", 2), (ids["callee2"], "u/none.rs", 1)], "src long, path string, line_no long"))
+    assert (ids["callee2"], ids["caller"]) in {(r["src"], r["dst"]) for r in ix.edge.collect()}
+    assert {r["key"]: r["value"] for r in ix.metas().collect()}["version"] == "3" and ix.gc() == 2 and ix.gc() == 0
+    os.remove(root / "u/a.rs")
+    with pytest.raises(LookupError):
+        ix.read(f"sym:{ids['caller']}")
 
 
 def test_precise_edges_survive_a_reconcile(spark, tmp_path):

@@ -192,8 +192,13 @@ class Index:
         """Code of symbols; files that changed since they were indexed are brought in step first."""
         ids = [self.id_of(a) for a in args]
         mine = self.file.join(self.symbol.filter(F.col("symbol_id").isin(ids)).select("file_id").distinct(), "file_id")
-        if not query.stale(mine, source.indexed(source.scan(self.spark, self.root))).isEmpty():
+        paths = [r["path"] for r in mine.select("path").collect()]
+        now = source.facts(source.contents(source.named(self.spark, source.listed(self.root, only=paths)), self.root))
+        if not query.stale(mine, now).isEmpty():
             self.reconcile()
+        known = {r["symbol_id"] for r in self.symbol.filter(F.col("symbol_id").isin(ids)).select("symbol_id").collect()}
+        if lost := [a for a, i in zip(args, ids) if i not in known]:
+            raise LookupError(f"no longer in the index: {', '.join(lost)}")
         return query.read_symbol(self.symbol, self.file, self.line, ids)
 
     def inspect(self, arg: str) -> DataFrame:
@@ -218,8 +223,26 @@ class Index:
         fields = "sym | name_path | file:lines | kind" + (" | depth | provenance/resolution" if walked else "")
         return project.block(label, fields, [r[0] for r in rows.select(row).collect()], cut, "read a symbol by its id")
 
+    def metas(self) -> DataFrame:
+        """(key, value): metadata of the current snapshot, its version and its bytes."""
+        fs, path = self.store._fs()
+        n = self.store.version()
+        rows = self.store.meta() | {"version": str(n), "bytes": str(fs.getContentSummary(path(f"{self.store.root}/v={n}")).getLength())}
+        return self.spark.createDataFrame(sorted(rows.items()), "key string, value string")
+
+    def gc(self) -> int:
+        """Delete the snapshots before the current one; how many there were."""
+        return self.store.pruned()
+
     def lsp(self, confirmed: DataFrame) -> int:
-        """Take in calls (src, dst) that a language server confirmed; returns the new version."""
+        """Take in calls that a language server confirmed, as (src, dst) or as (src, path, line_no) of what is called; returns the new version.
+
+        A place stands for the symbol whose name is on the line, else for the innermost callable over it; places without
+        one are left out.
+        """
+        if "dst" not in confirmed.columns:
+            places = confirmed.join(self.file.select("path", "file_id"), "path").select("src", "file_id", F.col("line_no").cast("long").alias("line_no"))
+            confirmed = precise.symbol_at(places, self.symbol).filter("symbol_id is not null").select("src", F.col("symbol_id").alias("dst"))
         tables = {n: self.store.read(n) for n in ("file", "symbol", "call", "line", "occurrence", "covered", "manifest", "dirty")}
         return self.store.write(tables | {"edge": precise.lsp_upserted(self.edge, confirmed)})
 

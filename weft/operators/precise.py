@@ -31,12 +31,17 @@ def documents(occurrences: DataFrame, files: DataFrame, root: str = "") -> DataF
     return occurrences.withColumn("path", full_path(F.col("project_root"), F.col("relative_path"), root)).join(files.select("file_id", "path"), "path")
 
 
+def scope(docs: DataFrame) -> list[str]:
+    """What a precise symbol's name is known within: its project, and its index file where that is told."""
+    return ["project_root"] + (["index_file"] if "index_file" in docs.columns else [])
+
+
 def symbol_map(docs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(project_root, symbol, symbol_id, kind): the last definition of each symbol, on a line the last symbol of the line."""
+    """(project_root, index_file where told, symbol, symbol_id, kind): the last definition of each symbol, on a line the last symbol of the line."""
     lines = symbols.groupBy("file_id", F.col("sel_line").alias("line_no")).agg(F.max("symbol_id").alias("symbol_id"), F.max_by("kind", "symbol_id").alias("kind"))
     defined = docs.filter(F.col("roles").bitwiseAND(DEFINITION) != 0).withColumn("line_no", F.col("line0") + 1).join(lines, ["file_id", "line_no"])
     last = F.max_by(F.struct("symbol_id", "kind"), F.struct("path", "ordinal"))
-    return defined.groupBy("project_root", "symbol").agg(last.alias("s")).select("project_root", "symbol", "s.symbol_id", "s.kind")
+    return defined.groupBy(*scope(docs), "symbol").agg(last.alias("s")).select(*scope(docs), "symbol", "s.symbol_id", "s.kind")
 
 
 def superseded(edges: DataFrame, symbols: DataFrame, covered: DataFrame) -> DataFrame:
@@ -48,8 +53,8 @@ def superseded(edges: DataFrame, symbols: DataFrame, covered: DataFrame) -> Data
 
 def scip_edges(docs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Resolved Calls edges: references to functions and methods, from the innermost callable over their line."""
-    known = symbol_map(docs, symbols).filter(F.col("kind").isin(*model.CALLABLE)).select("project_root", "symbol", F.col("symbol_id").alias("dst"))
-    used = docs.filter(F.col("roles").bitwiseAND(DEFINITION) == 0).select("project_root", "symbol", "file_id", (F.col("line0") + 1).alias("line_no")).join(known, ["project_root", "symbol"])
+    known = symbol_map(docs, symbols).filter(F.col("kind").isin(*model.CALLABLE)).select(*scope(docs), "symbol", F.col("symbol_id").alias("dst"))
+    used = docs.filter(F.col("roles").bitwiseAND(DEFINITION) == 0).select(*scope(docs), "symbol", "file_id", (F.col("line0") + 1).alias("line_no")).join(known, [*scope(docs), "symbol"])
     held = innermost(used, symbols, True).filter("enclosing_id is not null")
     return held.select(F.col("enclosing_id").alias("src"), "dst").distinct().select("src", "dst", *[F.lit(v).cast("long").alias(n) for n, v in (("kind", model.CALLS), ("provenance", model.SCIP), ("resolution", model.RESOLVED))])
 

@@ -90,6 +90,17 @@ class Store:
     def meta(self) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self.read("meta").collect()}
 
+    def pruned(self) -> int:
+        """Delete the versions before the current one, pointers first; how many there were."""
+        fs, path = self._fs()
+        n, gone = self.version(), 0
+        for s in fs.listStatus(path(self.root)):
+            name = s.getPath().getName()
+            if name.startswith("v=") and n is not None and int(name[2:]) < n:
+                fs.delete(path(f"{self.root}/current/{name[2:]}"), False)
+                gone += bool(fs.delete(s.getPath(), True))
+        return gone
+
     def reset(self) -> None:
         fs, path = self._fs()
         fs.delete(path(self.root), True)

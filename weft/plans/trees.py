@@ -106,7 +106,7 @@ SCIP = [(0, "s1", 1), (1, "s2", 1), (1, "s1", 0)]
 
 def scip_source(spark: SparkSession, d: str) -> DataFrame:
     root = planted(spark, {"a.scip": precise_bytes("file:///repo", "src/a.rs", SCIP)})
-    return scan.precise_index(spark, [f"{root}/a.scip"])
+    return scan.precise_index(spark, [f"{root}/a.scip"]).drop("index_file")
 
 
 def reconcile_edges(spark: SparkSession, d: str) -> DataFrame:

@@ -201,17 +201,17 @@ def decode_index(data: bytes) -> Iterator[tuple[str, str, int, str, int, int]]:
 
 
 def precise_index(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Occurrences of precise index files, decoded by the executors, a file to a task."""
-    schema = pa.schema([("project_root", pa.string()), ("relative_path", pa.string()), ("ordinal", pa.int64()), ("symbol", pa.string()), ("line0", pa.int64()), ("roles", pa.int64())])
+    """Occurrences of precise index files, each with its index_file, decoded by the executors, a file to a task."""
+    schema = pa.schema([("index_file", pa.string()), ("project_root", pa.string()), ("relative_path", pa.string()), ("ordinal", pa.int64()), ("symbol", pa.string()), ("line0", pa.int64()), ("roles", pa.int64())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
-                rows = list(decode_index(content.as_py()))
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = [(path, *row) for row in decode_index(content.as_py())]
                 for lo in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 10_000]), schema)], schema=schema)
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(decode, "project_root string, relative_path string, ordinal long, symbol string, line0 long, roles long")
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(decode, "index_file string, project_root string, relative_path string, ordinal long, symbol string, line0 long, roles long")
 
 
 def git_output(root: str, *args: str) -> list[str]:
