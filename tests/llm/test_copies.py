@@ -205,6 +205,19 @@ def test_licenses(spark, docs, empty):
     assert licenses.scanned(docs).count() == 0 and licenses.scanned(empty).count() == 0
 
 
+def test_long_template(spark):
+    rng = random.Random(25)
+    notice = prose(rng, 230).split() + ["licensee", "grants"] + prose(rng, 20).split()
+    at = lambda part, gap: prose(rng, 90) + " " + " ".join(notice[: int(len(notice) * part)][:gap] + notice[: int(len(notice) * part)][gap + 1 :]) + " " + prose(rng, 40)
+    rows = [(1, at(1, 1000)), (2, at(0.9, 1000)), (3, at(0.7, 1000)), (4, at(1, 100)), (5, prose(rng, 400))]
+    got = {r["doc_id"]: r["containment"] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"), {"long": " ".join(notice)}).collect()}
+    grams = [tuple(notice[i : i + 5]) for i in range(len(notice) - 4)]
+    for i, text in rows:
+        own = {tuple(text.split()[k : k + 5]) for k in range(len(text.split()) - 4)}
+        share = sum(g in own for g in grams) / len(grams)
+        assert (i in got) == (share >= 0.8) and (i not in got or abs(got[i] - share) < 1e-9)
+
+
 def test_contamination(spark, docs, empty):
     rng = random.Random(8)
     items = [(i, ". ".join(prose(rng, 12).capitalize() for _ in range(3)) + ".") for i in range(12)]

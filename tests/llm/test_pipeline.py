@@ -42,6 +42,19 @@ def test_stages(spark, tmp_path_factory):
         assert got[i]["ids"] == own.ids(t) and got[i]["n_tokens"] == len(got[i]["ids"])
 
 
+def test_stages_on_empty_and_repeated_rows(spark, docs, empty, tmp_path):
+    docs.select("doc_id").limit(0).selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+    twice = docs.unionByName(docs)
+    kept = {name: stage(spark, twice, str(tmp_path)).count() for name, stage in corpus_pipeline.STAGES}
+    n = docs.count()
+    assert kept["quality"] == kept["decontamination"] == kept["bpe"] == 2 * n  # without labels every score is 0.5
+    assert kept["near_dedup"] == docs.filter("doc_id is null or doc_id not in (901, 902, 903, 906)").count() + 2
+    assert kept["language"] == 2 * corpus_pipeline.language_id(spark, docs, str(tmp_path)).count()
+
+
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()

@@ -27,8 +27,9 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(u, m): the least vertex m of the component of every vertex u that isn't m itself. links: (u, v), in either order.
 
     Every step is written to the shared folder, so lineage stays short and a lost executor costs one step at most. A
-    round only groups by vertex (minimum, combined before the shuffle) and joins on it, so a vertex with very many links
-    is never gathered by one task. No links give no rows; self-links and repeated links don't matter.
+    round only groups by vertex (minimum, combined before the shuffle) and joins its links with the one row of that minimum;
+    where a vertex has very many links, adaptive execution splits its side of the join. No links give no rows; self-links
+    and repeated links don't matter.
     """
     e = stored(links.select("u", "v").filter("u <> v").distinct(), "links")
     mark = None

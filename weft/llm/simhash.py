@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import stored
+from weft.llm.common import Scratch, stored
 from weft.llm.components import components
 
 ONES = np.uint64(0x0101010101010101)
@@ -193,13 +193,13 @@ def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([alike(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.float64())
 
 
-def sets_of(classes: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
+def sets_of(classes: DataFrame, docs: DataFrame, facts: DataFrame, keep: Scratch) -> DataFrame:
     """(cls, own) of some digests (cls): the shingle set of the text; only texts of these are cut again."""
     key = F.coalesce("doc_id", F.lit(-1)).alias("key")
     # one row stands for all copies of a text
     need = facts.join(classes.distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("key"))
     texts = docs.select(key, digest().alias("cls"), "text").join(need, ["key", "cls"], "left_semi").dropDuplicates(["cls"])
-    return stored(texts.select("cls", shingle_sets("text").alias("own")), "sets")
+    return keep.stored(texts.select("cls", shingle_sets("text").alias("own")), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -208,7 +208,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.filter(jaccard("x", "y") >= similarity).select("u", "v")
 
 
-def sharing_rare(sets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+def sharing_rare(sets: DataFrame, parts: DataFrame, similarity: float, keep: Scratch) -> DataFrame:
     """(u, v), u and v in different parts (cls, c), that share one of their rarest shingles: every pair at the similarity does.
 
     Of n shingles a partner has at least ceil(similarity * n), so it has one of any n - ceil(similarity * n) + 1. With those
@@ -222,7 +222,7 @@ def sharing_rare(sets: DataFrame, parts: DataFrame, similarity: float) -> DataFr
     ranked = known.select("cls", "n", "h", rank.alias("rank"), F.count("*").over(Window.partitionBy("cls")).alias("m"))
     # shingles of one set alone are the rarest of all, and come first
     rare = ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.col("m")))
-    rare = stored(rare.join(parts, "cls").select("cls", "c", "n", "h"), "rare")
+    rare = keep.stored(rare.join(parts, "cls").select("cls", "c", "n", "h"), "rare")
     a, b = (rare.select(F.col("cls").alias(x), F.col("c").alias("c" + x), F.col("n").alias("n" + x), "h") for x in "uv")
     return a.join(b, "h").filter((F.col("cu") < F.col("cv")) & (F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity - 1e-9)).select("u", "v").distinct()
 
@@ -240,30 +240,31 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     components, all pairs across components that share a rare shingle are looked at, so no link between different
     components is lost. Null texts are empty; all texts without words are copies.
     """
-    facts = stored(docs.select("doc_id", digest().alias("cls"), wides("text").alias("w")).select("doc_id", "cls", "w.*"), "wide")
-    ids = facts.select("doc_id", "cls").distinct()
-    one = stored(facts.groupBy("cls").agg(F.first("blocks").alias("blocks"), F.first("fp").alias("fp")), "classes")
-    rows = one.select("cls", F.posexplode("blocks").alias("t", "key"))
-    buckets = rows.groupBy("t", "key").agg(F.min("cls").alias("first"), F.max("cls").alias("last"))
-    held = stored(rows.join(buckets.filter("first <> last"), ["t", "key"]), "blocks")
-    radius = radius_of(similarity, 64 * LANES)
-
-    def close(pairs: DataFrame) -> DataFrame:
-        x, y = (one.select(F.col("cls").alias(c), F.col("fp").alias(f)) for c, f in (("u", "x"), ("v", "y")))
-        return stored(pairs.join(x, "u").join(y, "v").filter(apart("x", "y") <= radius).select("u", "v"), "candidates")
-
-    # the least and the greatest of the first members of its buckets, for each member
-    heads = held.groupBy("cls").agg(F.min("first").alias("a"), F.max("first").alias("b"))
-    some = close(heads.select(F.col("cls").alias("u"), F.explode(F.array("a", "b")).alias("v")).filter("u <> v").distinct())
-    near = stored(confirmed(some, sets_of(some.select(F.explode(F.array("u", "v")).alias("cls")), docs, facts), similarity), "near")
-    # then, in buckets where that left several components, members of different ones
-    part = held.select("t", "key", "cls").join(components(near).withColumnRenamed("u", "cls"), "cls", "left").select("t", "key", "cls", F.coalesce("m", "cls").alias("c"))
-    split = part.groupBy("t", "key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("t", "key")
-    rest = stored(part.join(split, ["t", "key"]).select("cls", "c").distinct(), "rest")
-    sets = sets_of(rest.select("cls"), docs, facts)
-    across = confirmed(close(sharing_rare(sets, rest, similarity)), sets, similarity)
-    to = components(near.unionByName(across)).withColumnRenamed("u", "cls")
-    return ids.join(to, "cls", "left").select("doc_id", "cls", F.coalesce("m", "cls").alias("root"))
+    with Scratch(docs.sparkSession) as keep:
+        facts = keep.stored(docs.select("doc_id", digest().alias("cls"), wides("text").alias("w")).select("doc_id", "cls", "w.*"), "wide")
+        ids = facts.select("doc_id", "cls").distinct()
+        one = keep.stored(facts.groupBy("cls").agg(F.first("blocks").alias("blocks"), F.first("fp").alias("fp")), "classes")
+        rows = one.select("cls", F.posexplode("blocks").alias("t", "key"))
+        buckets = rows.groupBy("t", "key").agg(F.min("cls").alias("first"), F.max("cls").alias("last"))
+        held = keep.stored(rows.join(buckets.filter("first <> last"), ["t", "key"]), "blocks")
+        radius = radius_of(similarity, 64 * LANES)
+
+        def close(pairs: DataFrame) -> DataFrame:
+            x, y = (one.select(F.col("cls").alias(c), F.col("fp").alias(f)) for c, f in (("u", "x"), ("v", "y")))
+            return keep.stored(pairs.join(x, "u").join(y, "v").filter(apart("x", "y") <= radius).select("u", "v"), "candidates")
+
+        # the least and the greatest of the first members of its buckets, for each member
+        heads = held.groupBy("cls").agg(F.min("first").alias("a"), F.max("first").alias("b"))
+        some = close(heads.select(F.col("cls").alias("u"), F.explode(F.array("a", "b")).alias("v")).filter("u <> v").distinct())
+        near = keep.stored(confirmed(some, sets_of(some.select(F.explode(F.array("u", "v")).alias("cls")), docs, facts, keep), similarity), "near")
+        # then, in buckets where that left several components, members of different ones
+        part = held.select("t", "key", "cls").join(components(near).withColumnRenamed("u", "cls"), "cls", "left").select("t", "key", "cls", F.coalesce("m", "cls").alias("c"))
+        split = part.groupBy("t", "key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("t", "key")
+        rest = keep.stored(part.join(split, ["t", "key"]).select("cls", "c").distinct(), "rest")
+        sets = sets_of(rest.select("cls"), docs, facts, keep)
+        across = confirmed(close(sharing_rare(sets, rest, similarity, keep)), sets, similarity)
+        to = components(near.unionByName(across)).withColumnRenamed("u", "cls")
+        return stored(ids.join(to, "cls", "left").select("doc_id", "cls", F.coalesce("m", "cls").alias("root")), "groups")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
