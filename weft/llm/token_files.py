@@ -61,66 +61,64 @@ class ByteBpe:
         self.word = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = b"" if end is None else np.array([end], "<u4").tobytes()
         self.letters = dict(enumerate(byte_letters()))
-        #: Ids of a part with its space before it, and of one that begins a text or line; None if a text with it goes to the library whole.
-        self.table: dict[str, bytes | None] = {}
-        self.heads: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
+        #: Ids of a part with its space before it, and of one that begins a text or line.
+        self.table, self.heads = Parts(self, " "), Parts(self, "")
         self.tails: dict[str, bytes] = {"": b"", "\n": self.raw("\n")}
 
     def raw(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def part(self, p: str, space: str) -> bytes | None:
-        """Ids of a new part after a space, or after none: those of its word and of the marks after it, or of its lines."""
-        table = self.table if space else self.heads
+    def part(self, p: str, table: Parts) -> bytes | None:
+        """Ids of a new part of a table: those of its word and of the marks after it, or of its lines; None if a text with it goes to the library whole."""
         if m := self.plain(p):
             core, tail = m.groups()
-            if (ids := table.get(core) or (self.before.get(core) if space else None)) is None:
-                piece = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
-                ids = table[core] = array("I", [t.id for t in self.model("Ġ" + piece if space else piece)]).tobytes()
             if tail:
                 if tail not in self.tails:
                     self.tails[tail] = self.raw(tail)
-                ids += self.tails[tail]
-        elif not p or p[0].isspace() or p[-1].isspace() or "<|" in p:
-            ids = None
-        elif "\n" in p:
+                return table[core] + self.tails[tail]
+            piece = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.model("Ġ" + piece if table.space else piece)]).tobytes()
+        if not p or p[0].isspace() or p[-1].isspace() or "<|" in p:
+            return None
+        if "\n" in p:
             first, *rest = p.split("\n")
-            each = [self.part(first, space)] + [self.part(x, "") for x in rest]
-            ids = None if None in each else self.tails["\n"].join(each)
-        else:
-            ids = self.raw(space + p)
-        table[p] = ids
-        return ids
+            each = [table[first], *map(self.heads.__getitem__, rest)]
+            return None if None in each else self.tails["\n"].join(each)
+        return self.raw(table.space + p)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, the end id last."""
-        if len(self.table) > TABLE:
-            self.before, self.table = self.table, {}
-        if len(self.heads) > TABLE:
-            self.heads = {}
         if len(self.tails) > TABLE:
             self.tails = {"": b"", "\n": self.tails["\n"]}
-        split = [t.split(" ") for t in texts]
-        heads = [s.pop(0) for s in split]
-        table, before = self.table, self.before
-        for p in set().union(*split).difference(table):
-            if p in before:
-                table[p] = before[p]
-            else:
-                self.part(p, " ")
-        for p in set(heads).difference(self.heads):
-            self.part(p, "")
-        get, out = self.table.__getitem__, []
-        for t, head, parts in zip(texts, heads, split):
-            ids = self.heads[head]
+        out = []
+        for t in texts:
+            table, heads = self.table.trimmed(), self.heads.trimmed()
+            head, *parts = t.split(" ")
             try:
-                out.append(ids + b"".join(map(get, parts)) + self.end)
+                out.append(heads[head] + b"".join(map(table.__getitem__, parts)) + self.end)
             except TypeError:  # a part of it has None
                 out.append(self.raw(t) + self.end)
         return out
 
 
+class Parts(dict):
+    """A table of parts that makes missing entries, and looks for them in the table before, of which it is rid at times."""
+
+    def __init__(self, code: ByteBpe, space: str):
+        self.code, self.space, self.before = code, space, {}
+
+    def __missing__(self, p: str) -> bytes | None:
+        ids = self[p] = self.before.get(p) or self.code.part(p, self)
+        return ids
+
+    def trimmed(self) -> Parts:
+        """Itself, anew if it has more than TABLE entries."""
+        if len(self) > TABLE:
+            self.before = dict(self)
+            self.clear()
+        return self
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, end: int | None) -> ByteBpe:
     return ByteBpe(path, end)
