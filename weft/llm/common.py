@@ -54,24 +54,6 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-class Scratch:
-    """Written tables in a folder of their own, deleted together once what was made of them is written elsewhere."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, fresh_dir(spark, "scratch")
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def stored(self, df: DataFrame, what: str) -> DataFrame:
-        path = f"{self.root}/{what}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def __exit__(self, *_) -> None:
-        removed(self.spark, self.root)
-
-
 def batches(values, most: int = 1_000_000):
     """Lists of texts of about `most` code points together, so that a batch's lists stay small."""
     held, n = [], 0
