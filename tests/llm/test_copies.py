@@ -144,6 +144,63 @@ def test_near_copies_equal_brute_force(spark):
     assert kept == {top(i) for i in range(len(texts))}
 
 
+def edits_of(rng, base, least, most):
+    """The text with so many of its words changed, dropped or doubled."""
+    w = base.split()
+    for k in rng.sample(range(len(w)), rng.randrange(least, most)):
+        w[k] = rng.choice([prose(rng, 1), prose(rng, 1), "", w[k] + " " + w[k]])
+    return " ".join(w)
+
+
+def test_edits_of_one_template_are_not_paired(spark, monkeypatch):
+    """Most pairs of a large family lie below the similarity: what is compared grows with its size, not with the square."""
+    compared = []
+    inner = simhash.confirmed
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return inner(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "confirmed", counted)
+    rng = random.Random(17)
+    base = prose(rng, 150)
+    texts = [base] + [edits_of(rng, base, 1, 8) for _ in range(600)]
+    groups_of = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(compared) < 40 * len(texts)
+    assert classes_of(groups_of) == slow_classes(texts)
+
+
+def classes_of(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r["root"], set()).add(r["doc_id"])
+    return sorted(map(sorted, by.values()))
+
+
+def slow_classes(texts, similarity=0.8):
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    of = groups(range(len(texts)), lambda i, j: len(grams[i] & grams[j]) >= similarity * len(grams[i] | grams[j]))
+    by = {}
+    for i, r in of.items():
+        by.setdefault(r, []).append(i)
+    return sorted(by.values())
+
+
+def test_large_buckets_equal_brute_force(spark):
+    """Nested templates, cuts at both ends and texts without words, with buckets over 5 taken for large ones."""
+    rng = random.Random(18)
+    base = prose(rng, 120)
+    words = base.split()
+    other = " ".join(words[:100] + prose(rng, 30).split())
+    texts = [edits_of(rng, base, 0, 7) for _ in range(60)] + [edits_of(rng, other, 0, 7) for _ in range(60)]
+    texts += [" ".join(words[rng.randrange(12) : len(words) - rng.randrange(50)]) for _ in range(40)]
+    texts += [edits_of(rng, rng.choice(texts), 1, 4) for _ in range(40)] + ["", " ", "\n", prose(rng, 3), prose(rng, 60)]
+    texts = list(dict.fromkeys(texts))
+    want = slow_classes(texts)
+    assert 20 < len(want) < len(texts) - 40
+    assert classes_of(simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), large=5).collect()) == want
+
+
 def test_fingerprints(docs, empty):
     got = fingerprints.fingerprinted(docs)
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

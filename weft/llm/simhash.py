@@ -12,17 +12,19 @@ the members of large buckets are linked through those values, 65 for each finger
 too far for a pigeonhole over 64 bits, and sets of words lie further apart still where an edit is in one piece. Candidates
 therefore share one of 26 bands of 6 minima over the shingles: a pair at 0.8 does with probability 1 - (1 - 0.8^6)^26 = 0.9996,
 whatever was edited. A 512-bit fingerprint over the shingles leaves out pairs far below, and the shingles themselves decide.
+Members of large buckets are compared by how they differ from a hub, so edits of one template aren't paired with each other.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -188,50 +190,133 @@ def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([alike(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.float64())
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) of digests whose shingle sets reach the similarity; only texts of pairs are read."""
+def sets_of(docs: DataFrame, facts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, own): the shingle sets of the digests in classes (cls), written out; only their texts are read."""
     key = F.coalesce("doc_id", F.lit(-1)).alias("key")
     # one row stands for all copies of a text
-    need = facts.join(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("key"))
+    need = facts.join(classes.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("key"))
     texts = docs.select(key, digest().alias("cls"), "text").join(need, ["key", "cls"], "left_semi").dropDuplicates(["cls"])
-    sets = stored(texts.select("cls", shingle_sets("text").alias("own")), "sets")
+    return stored(texts.select("cls", shingle_sets("text").alias("own")), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of digests whose shingle sets reach the similarity; only texts of pairs are read."""
+    sets = sets_of(docs, facts, pairs.select(F.explode(F.array("u", "v")).alias("cls")))
     both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("cls").alias("v"), F.col("own").alias("y")), "v")
     return both.filter(jaccard("x", "y") >= similarity).select("u", "v")
 
 
+@F.arrow_udf(T.StructType().add("n", T.LongType()).add("shared", T.LongType()).add("m", T.LongType()).add("extra", T.ArrayType(T.LongType())))
+def beside(own: pa.Array, hub: pa.Array) -> pa.Array:
+    """Of two shingle sets: the first's size, what they share, the second's size, what only the first has."""
+    n, shared, m, extra = [], [], [], []
+    for a, b in zip(own, hub):
+        x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+        more = np.setdiff1d(x, y, assume_unique=True)
+        n.append(len(x))
+        shared.append(len(x) - len(more))
+        m.append(len(y))
+        extra.append(more.view(np.int64))
+    parts = [pa.array(v, pa.int64()) for v in (n, shared, m)] + [pa.array(extra, pa.list_(pa.int64()))]
+    return pa.StructArray.from_arrays(parts, ["n", "shared", "m", "extra"])
+
+
 def apart(x: str, y: str) -> Column:
     """Differing bits of two wide fingerprints."""
     return sum((F.bit_count(F.element_at(x, i + 1).bitwiseXOR(F.element_at(y, i + 1))) for i in range(LANES)), F.lit(0))
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def crowded(rows: DataFrame) -> DataFrame:
+    """The members (b, cls) of buckets of two and more, with the bucket's size n."""
+    return rows.join(rows.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1"), "b")
+
+
+def hubs_of(held: DataFrame) -> DataFrame:
+    """(b, hub): of each bucket the member whose buckets are largest together, which is likest to most others."""
+    score = held.groupBy("cls").agg(F.sum("n").alias("score"))
+    return held.join(score, "cls").groupBy("b").agg(F.max(F.struct("score", "cls")).alias("top")).select("b", F.col("top.cls").alias("hub"))
+
+
+def within_hub(members: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Pairs (u, v) of members that can reach the similarity by shingles of their hub alone.
+
+    Such a pair shares at most the lesser of what its two texts share with the hub, so each has a greatest size (`most`)
+    of a partner. If both reach the hub itself, they are linked already; if u doesn't, its partners are smaller than the
+    hub. Pairs meet by the ranges of both sizes, in steps of a sixteenth of the hub.
+    """
+    step = F.greatest(F.lit(1.0), F.col("m") / 16)
+    cell = lambda n: F.floor(n / step)
+    sized = members.withColumn("most", F.floor(F.col("shared") * ((1 + similarity) / similarity) - F.col("n") + 1e-6)).withColumn("fewest", F.floor(F.col("n") * similarity))
+    sized = sized.filter("most >= fewest").withColumn("own", cell(F.col("n"))).withColumn("other", F.explode(F.sequence(cell(F.col("fewest")), cell(F.col("most")))))
+    facts = F.struct("cls", "c", "n", "most", "fp")
+    a = sized.filter("most < m").select("hub", F.col("own").alias("p"), F.col("other").alias("q"), facts.alias("a"))
+    b = sized.filter("n < m").select("hub", F.col("other").alias("p"), F.col("own").alias("q"), facts.alias("b"))
+    met = a.join(b, ["hub", "p", "q"]).filter((F.col("a.c") != F.col("b.c")) & (F.col("b.n") <= F.col("a.most")) & (F.col("a.n") <= F.col("b.most")) & (apart("a.fp", "b.fp") <= radius))
+    return met.select(F.least("a.cls", "b.cls").alias("u"), F.greatest("a.cls", "b.cls").alias("v"))
+
+
+def beyond_hub(members: DataFrame, similarity: float) -> DataFrame:
+    """Buckets (b, cls): members of a hub that share a shingle which it hasn't.
+
+    Of each member's shingles beyond the hub, the rarest in the group first, only so many count that a pair which shares
+    none of them keeps too few in common to reach the similarity.
+    """
+    rows = members.select("hub", "cls", "n", F.explode("extra").alias("s")).withColumn("f", F.count("*").over(Window.partitionBy("hub", "s")))
+    rank = F.row_number().over(Window.partitionBy("hub", "cls").orderBy("f", "s"))
+    rare = rows.withColumn("rank", rank).filter(F.col("rank") <= F.floor(F.col("n") * (1 - similarity) + 1e-6) + 1)
+    return rare.filter("f > 1").select(F.xxhash64("hub", "s").alias("b"), "cls").distinct()
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, large: int = 64) -> DataFrame:
     """(doc_id, cls, root) of every distinct pair of id and text: cls is a digest of the text, root its group's.
 
-    Exact copies are one vertex, so a text's copies are never paired. Nor are all pairs of a large group of near copies
-    given out: members are first linked to the ends of their buckets, and only pairs whose members that leaves apart are
-    looked at further. No link between different components is lost. Null texts are empty; all texts without words
-    are copies.
+    Exact copies are one vertex, so a text's copies are never paired. Members of a bucket are first linked to its hub; then
+    only members that this leaves in different components are looked at. In buckets of up to `large` members they are
+    compared pairwise. A larger bucket is a template and its edits, most of whose pairs lie below the similarity; its members
+    are compared by how they differ from the hub: a pair reaches the similarity either by shingles of the hub alone, which
+    the sizes bound (`within_hub`), or shares a rare shingle beyond it (`beyond_hub`), and these make the buckets of
+    the next level, with twice the limit. Both ways are exact: no link between different components is lost. Null texts are
+    empty; all texts without words are copies.
     """
     facts = stored(docs.select("doc_id", digest().alias("cls"), wides("text").alias("w")).select("doc_id", "cls", "w.*"), "wide")
     ids = facts.select("doc_id", "cls").distinct()
     one = stored(facts.groupBy("cls").agg(F.first("blocks").alias("blocks"), F.first("fp").alias("fp")), "classes")
-    rows = one.select("cls", F.posexplode("blocks").alias("t", "key"))
-    buckets = rows.groupBy("t", "key").agg(F.min("cls").alias("first"), F.max("cls").alias("last"))
-    held = stored(rows.join(buckets.filter("first <> last"), ["t", "key"]), "blocks")
     fps = one.select("cls", "fp")
     radius = radius_of(similarity, 64 * LANES)
-    # each member against the first and the last of its buckets
-    ends = held.select(F.col("cls").alias("u"), F.explode(F.array("first", "last")).alias("v")).filter("u <> v").distinct()
-    near = ends.join(fps.select(F.col("cls").alias("u"), F.col("fp").alias("x")), "u").join(fps.select(F.col("cls").alias("v"), F.col("fp").alias("y")), "v").filter(apart("x", "y") <= radius)
-    near = stored(confirmed(stored(near.select("u", "v"), "candidates"), docs, facts, similarity), "near")
-    # then, in buckets where that left several components, members of different ones against each other
-    part = held.select("t", "key", "cls").join(components(near).withColumnRenamed("u", "cls"), "cls", "left").select("t", "key", "cls", F.coalesce("m", "cls").alias("c"))
-    split = part.groupBy("t", "key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("t", "key")
-    rest = stored(part.join(split, ["t", "key"]).join(fps, "cls"), "rest")
-    a = rest.select("t", "key", F.col("cls").alias("u"), F.col("c").alias("cu"), F.col("fp").alias("x"))
-    b = rest.select("t", "key", F.col("cls").alias("v"), F.col("c").alias("cv"), F.col("fp").alias("y"))
-    across = a.join(b, ["t", "key"]).filter((F.col("cu") < F.col("cv")) & (apart("x", "y") <= radius)).select("u", "v").distinct()
-    across = confirmed(stored(across, "candidates"), docs, facts, similarity)
+    held = stored(crowded(one.select("cls", F.posexplode("blocks").alias("t", "key")).select(F.xxhash64("t", "key").alias("b"), "cls")), "blocks")
+    near = to = None
+    pairs = []
+    while True:
+        # each member against the hub of its buckets; after the first level only in large ones
+        linking = held if near is None else held.filter(F.col("n") > large)
+        if near is None or not linking.isEmpty():
+            hubs = stored(hubs_of(linking), "hubs")
+            ends = linking.join(hubs, "b").select(F.col("cls").alias("u"), F.col("hub").alias("v")).filter("u <> v").distinct()
+            met = ends.join(fps.select(F.col("cls").alias("u"), F.col("fp").alias("x")), "u").join(fps.select(F.col("cls").alias("v"), F.col("fp").alias("y")), "v").filter(apart("x", "y") <= radius)
+            found = stored(confirmed(stored(met.select("u", "v"), "candidates"), docs, facts, similarity), "near")
+            near = found if near is None else near.unionByName(found)
+            to = components(near).withColumnRenamed("u", "cls")
+        # then, in buckets where that left several components, members of different ones against each other
+        part = held.join(to, "cls", "left").select("b", "n", "cls", F.coalesce("m", "cls").alias("c"))
+        split = part.groupBy("b").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("b")
+        rest = stored(part.join(split, "b").join(fps, "cls"), "rest")
+        few = rest.filter(F.col("n") <= large)
+        a = few.select("b", F.col("cls").alias("u"), F.col("c").alias("cu"), F.col("fp").alias("x"))
+        b = few.select("b", F.col("cls").alias("v"), F.col("c").alias("cv"), F.col("fp").alias("y"))
+        pairs.append(a.join(b, "b").filter((F.col("cu") < F.col("cv")) & (apart("x", "y") <= radius)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+        many = rest.filter(F.col("n") > large)
+        if many.isEmpty():
+            break
+        # buckets of one hub are one group
+        group = stored(many.join(hubs, "b").select("hub", "cls", "c", "fp").dropDuplicates(["hub", "cls"]), "group")
+        sets = sets_of(docs, facts, group.select(F.explode(F.array("hub", "cls")).alias("cls")))
+        both = group.join(sets, "cls").join(sets.select(F.col("cls").alias("hub"), F.col("own").alias("base")), "hub")
+        members = stored(both.select("hub", "cls", "c", "fp", beside("own", "base").alias("d")).select("hub", "cls", "c", "fp", "d.*"), "members")
+        pairs.append(within_hub(members, similarity, radius))
+        held = stored(crowded(beyond_hub(members, similarity)), "blocks")
+        large *= 2
+    across = stored(reduce(DataFrame.unionByName, pairs).distinct(), "candidates")
+    across = confirmed(across, docs, facts, similarity)
     to = components(near.unionByName(across)).withColumnRenamed("u", "cls")
     return ids.join(to, "cls", "left").select("doc_id", "cls", F.coalesce("m", "cls").alias("root"))
 
